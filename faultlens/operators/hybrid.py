@@ -18,7 +18,10 @@ def vector_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K, embed=hashed_
     or the approximate top-k.
     """
     asked = embed(logs, "query_id", "processed_text")
-    best = vector_rank(search(asked, kb.select("id", "embedding"), k))
+    # the keys are counted before any text or vector work, to size the blocks
+    n_queries, n_articles = logs.select("query_id").count(), kb.select("id").count()
+    found = search(asked, kb.select("id", "embedding"), k, n_queries=n_queries, n_articles=n_articles)
+    best = vector_rank(found)
     return best.select(
         "query_id", "id", F.lit("vector").alias("source"), F.col("vec_rank").alias("rank"),
         F.lit(0).alias("n_fts"),

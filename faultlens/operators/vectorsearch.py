@@ -64,6 +64,10 @@ def _clean(df: DataFrame, key: str, vector: str, dim: int | None) -> DataFrame:
     return df.filter(ok).select(F.col(key), F.col(vector).alias("vec"))
 
 
+def _n_blocks(df: DataFrame, key: str, rows: int | None, block: int) -> int:
+    return max(1, math.ceil((df.select(key).count() if rows is None else rows) / block))
+
+
 def _merge(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -82,15 +86,18 @@ def vector_topk(
     dim: int | None = None,
     article_block: int = ARTICLE_BLOCK,
     query_block: int = QUERY_BLOCK,
+    n_queries: int | None = None,
+    n_articles: int | None = None,
 ) -> DataFrame:
     """Exact: queries(query_id, vector) x articles(id, vector) -> (query_id, id, similarity, rank).
 
     Vectors that are null, empty or not of length ``dim`` are no candidates. Similarities carry six
-    digits; equal ones are ordered by id.
+    digits; equal ones are ordered by id. Pass the row counts (or upper bounds) where they are known:
+    counting a derived table here would compute it twice.
     """
+    n_article = _n_blocks(articles, "id", n_articles, article_block)
+    n_query = _n_blocks(queries, "query_id", n_queries, query_block)
     queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
-    n_article = max(1, math.ceil(articles.count() / article_block))
-    n_query = max(1, math.ceil(queries.count() / query_block))
     left = queries.withColumn("q_block", _part_of("query_id", n_query)).withColumn(
         "a_block", F.explode(F.sequence(F.lit(0), F.lit(n_article - 1)))
     )
@@ -125,6 +132,8 @@ def vector_topk_ann(
     n_bits: int | None = None,
     n_probe: int = 6,
     cell_rows: int = CELL_ROWS,
+    n_queries: int | None = None,
+    n_articles: int | None = None,
 ) -> DataFrame:
     """Approximate: articles live in cells cut by fixed hyperplanes, a query visits its own cell and the
     cells across its nearest planes. Scores of the hits are exact.
@@ -132,11 +141,11 @@ def vector_topk_ann(
     Cells are split into parts of at most about ``cell_rows`` articles and queries, so a crowded cell becomes
     many tasks instead of one.
     """
-    queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
     if n_bits is None:
-        n_bits = max(0, math.ceil(math.log2(max(1, articles.count()) / cell_rows)))
+        n_bits = math.ceil(math.log2(_n_blocks(articles, "id", n_articles, cell_rows)))
     if n_bits == 0:
-        return vector_topk(queries, articles, k, "vec", dim)
+        return vector_topk(queries, articles, k, vector, dim, n_queries=n_queries, n_articles=n_articles)
+    queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
     planes = np.random.default_rng(20240101).standard_normal((n_bits, dim))
     n_probe = min(n_probe, n_bits + 1)
 
