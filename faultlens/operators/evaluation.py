@@ -67,7 +67,7 @@ def _figures(ok: Column | None = None) -> list[Column]:
         return F.coalesce(F.try_divide(total_of(name).cast("double"), total.cast("double")), F.lit(0.0))
 
     def whole_mean_of(name: str) -> Column:
-        return mean_of(name).cast("long")
+        return F.coalesce(F.call_function("div", total_of(name), F.nullif(total, F.lit(0))), F.lit(0))
 
     correct = F.count_if(ok & F.col("is_correct"))
     return [
