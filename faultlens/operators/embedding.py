@@ -34,13 +34,12 @@ def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     counted = marked.groupBy(key).agg(
         *[F.sum(F.when(F.col("_bucket") == j, F.col("_sign")).otherwise(0)).alias(f"_c{j}") for j in range(DIM)]
     )
-    counts = [F.col(f"_c{j}").cast("double") for j in range(DIM)]
-    squares = counts[0] * counts[0]
-    for c in counts[1:]:
-        squares = squares + c * c
-    length = F.sqrt(squares)
-    sized = counted.withColumn("_length", length)
-    unit = F.array(*[F.try_divide(c, F.col("_length")) for c in counts]).cast("array<float>")
+    # lambdas over one array column: 64 spelled-out divisions would be too long to compile
+    counts = counted.select(key, F.array(*[F.col(f"_c{j}").cast("double") for j in range(DIM)]).alias("_counts"))
+    sized = counts.withColumn(
+        "_length", F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda acc, x: acc + x * x))
+    )
+    unit = F.transform("_counts", lambda x: F.try_divide(x, F.col("_length"))).cast("array<float>")
     return sized.select(key, F.when(F.col("_length") > 0, unit).alias("embedding"))
 
 

@@ -63,7 +63,10 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, content, source_type, ts, strategy, use_rag"""
-    lines = event_lines(table(spark, sf_dir, "events"))
+    return logs_of_lines(event_lines(table(spark, sf_dir, "events")))
+
+
+def logs_of_lines(lines: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "line")))
     logs = lines.groupBy("log_id").agg(
         F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("content"),
