@@ -253,14 +253,14 @@ def fts(queries: str, qid: str, qtext: str, kb: str = "kb", out: str = "fts", k:
 def like(source: str, key: str, kb: str = "kb", k: int = fv.TOP_K) -> str:
     """CTEs like_all(qid, keyword, id) and like_one(qid, id, rank)."""
     return f"""
-asked AS (SELECT DISTINCT {key} AS qid, unnest(keywords) AS keyword FROM {source}),
+like_asked AS (SELECT DISTINCT {key} AS qid, unnest(keywords) AS keyword FROM {source}),
 like_kw AS (
   SELECT keyword, id FROM (
     SELECT keyword, id, row_number() OVER (PARTITION BY keyword ORDER BY id) AS r
-    FROM (SELECT DISTINCT keyword FROM asked WHERE strlen(keyword) >= {fv.MIN_KEYWORD_BYTES}) w
+    FROM (SELECT DISTINCT keyword FROM like_asked WHERE strlen(keyword) >= {fv.MIN_KEYWORD_BYTES}) w
     JOIN {kb} ON symptoms LIKE '%' || keyword || '%')
   WHERE r <= {k}),
-like_all AS (SELECT qid, keyword, id FROM asked JOIN like_kw USING (keyword)),
+like_all AS (SELECT qid, keyword, id FROM like_asked JOIN like_kw USING (keyword)),
 like_one AS (
   SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank
   FROM (SELECT DISTINCT qid, id FROM like_all))"""

@@ -22,10 +22,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results_as_csv_rows(results: DataFrame) -> DataFrame:
-    """The fixed CSV columns, with the confidence at four digits."""
-    return results.select(
-        *[F.format_string("%.4f", F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in fv.RESULT_CSV_COLUMNS]
-    )
+    """The fixed CSV columns, with the confidence at four digits (halves go to the even digit)."""
+    confidence = F.format_string("%.4f", F.bround("confidence", 4)).alias("confidence")
+    return results.select(*[confidence if c == "confidence" else F.col(c) for c in fv.RESULT_CSV_COLUMNS])
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:
