@@ -24,8 +24,8 @@ def _present(upper: Column, words: list[str], extra: dict[str, Column] | None =
 
 
 def key_errors(text: Column) -> Column:
-    found = F.slice(_present(fold_upper(text), fv.KEY_ERRORS), 1, fv.MAX_KEY_ERRORS)
-    return F.when(text.isNotNull(), found)
+    """Empty for null texts."""
+    return F.slice(_present(fold_upper(text), fv.KEY_ERRORS), 1, fv.MAX_KEY_ERRORS)
 
 
 def retrieval_keywords(text: Column, errors: Column) -> Column:

@@ -22,25 +22,25 @@ def _hex_digit(word_hash: Column, pos: int) -> Column:
 def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, embedding): words hashed into 64 signed counters, scaled to unit length.
 
-    ``key`` must be unique. The counters are plain sums, so each row shrinks to one partial record before the
-    shuffle. Texts without words, or whose counters cancel out, get null.
+    ``key`` must be unique. Texts without words, or whose counters cancel out, get null.
     """
     words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("_word")).select(
         key, F.md5("_word").alias("_hash")
     )
     bucket = (_hex_digit(F.col("_hash"), 1) % 4) * 16 + _hex_digit(F.col("_hash"), 2)
     sign = F.when(_hex_digit(F.col("_hash"), 3) < 8, 1).otherwise(-1)
-    marked = words.select(key, bucket.alias("_bucket"), sign.alias("_sign"))
-    counted = marked.groupBy(key).agg(
-        *[F.sum(F.when(F.col("_bucket") == j, F.col("_sign")).otherwise(0)).alias(f"_c{j}") for j in range(DIM)]
+    # first per text and counter, map-side: at most 64 small records per text go on
+    sums = words.groupBy(key, bucket.alias("_bucket")).agg(F.sum(sign).cast("double").alias("_sum"))
+    used = F.col("_bucket").isNotNull()
+    counted = sums.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(used, F.struct("_bucket", "_sum")))).alias("_sums"),
+        F.sqrt(F.sum(F.when(used, F.col("_sum") * F.col("_sum")))).alias("_length"),
     )
-    # lambdas over one array column: 64 spelled-out divisions would be too long to compile
-    counts = counted.select(key, F.array(*[F.col(f"_c{j}").cast("double") for j in range(DIM)]).alias("_counts"))
-    sized = counts.withColumn(
-        "_length", F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = F.transform(
+        F.sequence(F.lit(0), F.lit(DIM - 1)),
+        lambda j: F.try_divide(F.coalesce(F.try_element_at("_sums", j), F.lit(0.0)), F.col("_length")),
     )
-    unit = F.transform("_counts", lambda x: F.try_divide(x, F.col("_length"))).cast("array<float>")
-    return sized.select(key, F.when(F.col("_length") > 0, unit).alias("embedding"))
+    return counted.select(key, F.when(F.col("_length") > 0, unit.cast("array<float>")).alias("embedding"))
 
 
 def model_vectors(

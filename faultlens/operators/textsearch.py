@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.tagging import search_vocabulary
 from faultlens.functions.text import tokens
+from faultlens.sources.stage import stage
 
 
 def article_text(content: Column, keywords: Column) -> Column:
@@ -50,16 +51,19 @@ def _query_sets(queries: DataFrame) -> DataFrame:
 def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """(q_key, id, score) for every distinct word set."""
     sets = _query_sets(queries).select("q_key", "q_tokens").dropDuplicates(["q_key"])
-    set_words = sets.select("q_key", F.size("q_tokens").alias("n_words"), F.explode("q_tokens").alias("word"))
+    set_words = sets.select("q_key", F.size("q_tokens").alias("n_words"), F.explode_outer("q_tokens").alias("word"))
     vocabulary = set_words.select("word").distinct()
 
     words = kb.select("id", tokens(article_text(F.col("content"), F.col("keywords"))).alias("words"))
-    postings = words.select("id", F.size("words").alias("n_all"), F.explode("words").alias("word"))
-    # one row per article: those of its words that any query asks for (bounded by its own text)
-    articles = (
+    # explode_outer: explode would add a filter that splits every text a second time
+    postings = words.select("id", F.size("words").alias("n_all"), F.explode_outer("words").alias("word"))
+    # one row per article: those of its words that any query asks for (bounded by its own text); written
+    # once, so that the articles are read and split only once
+    articles = stage(
         postings.join(vocabulary, "word")
         .groupBy("id")
-        .agg(F.first("n_all").alias("n_all"), F.collect_list("word").alias("hits"))
+        .agg(F.first("n_all").alias("n_all"), F.collect_list("word").alias("hits")),
+        "postings",
     )
     posted = articles.select("id", F.explode(F.array_distinct("hits")).alias("word"))
 
@@ -93,8 +97,8 @@ def like_hits(kb: DataFrame, k: int = fv.TOP_K, words: list[str] | None = None)
     words = [w for w in (words or search_vocabulary()) if len(w.encode()) >= fv.MIN_KEYWORD_BYTES]
     tests = [F.when(F.col("symptoms").like(f"%{w}%"), w).otherwise("") for w in words]
     found = kb.select("id", F.array_remove(F.array(*tests), "").alias("words")).select(
-        F.explode("words").alias("keyword"), "id"
-    )
+        F.explode_outer("words").alias("keyword"), "id"
+    ).filter("keyword IS NOT NULL")
     order = Window.partitionBy("keyword").orderBy("id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 

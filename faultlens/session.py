@@ -25,6 +25,9 @@ def local_session(cores: int = 8, memory: str = "12g", **extra: str) -> SparkSes
         .appName("faultlens")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # small local shuffles hold heavy rows: keep them spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(cores * 2))
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

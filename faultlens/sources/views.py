@@ -16,8 +16,18 @@ BLOCK = 1000
 FAULTS = fv.KEY_ERRORS + fv.RETRIEVAL_WORDS
 
 
+KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads the rows over the cores if the files have fewer splits than that; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def fault(index: Column) -> Column:
