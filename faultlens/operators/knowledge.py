@@ -13,6 +13,7 @@ from faultlens.operators.embedding import hashed_vectors
 
 TEXT_FIELDS = ["title", "content", "category", "keywords", "symptoms"]
 FIELDS = ["id", *TEXT_FIELDS, "embedding", "created_at", "updated_at"]
+COPY_CHUNK = 10_000
 SEARCHED = ["title", "content", "keywords", "symptoms", "category"]
 
 
@@ -78,25 +79,41 @@ def kb_rejected_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(~_is_valid())
 
 
-def number_rows(rows: DataFrame, key: Column, start: DataFrame, out: str = "id") -> DataFrame:
-    """Gapless ids after ``start`` (one row, column ``last_id``), ordered by the md5 of ``key``.
+def number_rows(rows: DataFrame, start: DataFrame, out: str = "id") -> DataFrame:
+    """Gapless ids after ``start`` (one row, column ``last_id``), ordered by the md5 of the whole row.
 
     The hash prefix cuts the rows into 4096 even buckets that are numbered side by side; only the bucket
-    sizes are added up in one place.
+    sizes are added up in one place. Equal rows are counted first and written out again in chunks, so a row
+    that makes up a third of the input does not end up in one task.
     """
-    hashed = rows.withColumn("_hash", F.md5(key)).withColumn("_bucket", F.substring("_hash", 1, 3))
-    sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    fields = rows.columns
+    counted = (
+        rows.groupBy(*fields).agg(F.count(F.lit(1)).alias("_times"))
+        .withColumn("_hash", F.md5(F.concat_ws("\x01", *fields)))
+        .withColumn("_bucket", F.substring("_hash", 1, 3))
+    )
+    sizes = counted.groupBy("_bucket").agg(F.sum("_times").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash"))
+    in_bucket = F.sum("_times").over(
+        Window.partitionBy("_bucket").orderBy("_hash", *fields).rowsBetween(Window.unboundedPreceding, -1)
+    )
     last = start.select("last_id", F.lit(True).alias("_one"))
-    return (
-        hashed.withColumn("_n", in_bucket)
+    first = (
+        counted.withColumn("_inner", F.coalesce(in_bucket, F.lit(0)))
         .join(F.broadcast(offsets), "_bucket")  # at most 4096 rows
         .withColumn("_one", F.lit(True))
         .join(F.broadcast(last), "_one")  # one row
-        .withColumn(out, F.col("last_id") + F.col("_before") + F.col("_n"))
-        .drop("_hash", "_bucket", "_n", "_before", "_one", "last_id")
+        .select(*fields, "_times", (F.col("last_id") + F.col("_before") + F.col("_inner") + 1).alias("_first"))
+    )
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / F.lit(COPY_CHUNK))))
+    chunks = first.withColumn("_chunk", chunk)
+    rest = F.least(F.col("_times") - F.col("_chunk") * COPY_CHUNK, F.lit(COPY_CHUNK).cast("long"))
+    spread = chunks.select(
+        *fields, (F.col("_first") + F.col("_chunk") * COPY_CHUNK).alias("_first"), rest.alias("_copies")
+    ).repartition("_first")
+    return spread.select(
+        *fields, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias(out)
     )
 
 
@@ -116,8 +133,7 @@ def _with_vectors(rows: DataFrame, embed, key: str = "id") -> DataFrame:
 def kb_insert(kb: DataFrame, rows: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
     """New table state with the valid rows appended under new ids; rows(title, content, ...)."""
     now = F.current_timestamp() if now is None else now
-    key = F.concat_ws("\x01", *TEXT_FIELDS)
-    numbered = number_rows(kb_valid_rows(rows).select(*TEXT_FIELDS), key, _last_id(kb))
+    numbered = number_rows(kb_valid_rows(rows).select(*TEXT_FIELDS), _last_id(kb))
     fresh = _with_vectors(numbered, embed).select(
         "id", *TEXT_FIELDS, F.col("new_embedding").alias("embedding"),
         now.alias("created_at"), now.alias("updated_at"),
@@ -178,8 +194,9 @@ def articles_from_cases(cases: DataFrame) -> DataFrame:
 def kb_seed(kb: DataFrame, cases: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
     """Fills the table from cases. Articles already there (same title and content) are not added twice, and
     their missing vectors are filled in."""
-    fresh = articles_from_cases(cases).dropDuplicates(["title", "content"])
-    fresh = fresh.join(kb.select("title", "content"), ["title", "content"], "left_anti")
+    text_key = F.sha2(F.concat_ws("\x01", "title", "content"), 256)
+    fresh = articles_from_cases(cases).withColumn("_key", text_key).dropDuplicates(["_key"])
+    fresh = fresh.join(kb.select(text_key.alias("_key")), "_key", "left_anti").drop("_key")
     return kb_insert(kb_backfill(kb, embed), fresh, embed, now)
 
 

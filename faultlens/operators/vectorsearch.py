@@ -21,7 +21,6 @@ QUERY_BLOCK = 4096
 CELL_ROWS = 2048
 DIGITS = 6
 _SLICE = 1024
-_HITS = "query_id long, id long, similarity double"
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -32,9 +31,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 def _best_in_block(queries: pd.DataFrame, articles: pd.DataFrame, k: int) -> pd.DataFrame:
     if queries.empty or articles.empty:
-        return pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype(
-            {"query_id": "int64", "id": "int64", "similarity": "float64"}
-        )
+        return pd.DataFrame({"query_id": queries["query_id"][:0], "id": articles["id"][:0], "similarity": np.empty(0)})
     articles = articles.sort_values("id", kind="stable")
     ids = articles["id"].to_numpy()
     sides = _unit(articles["vec"]).T
@@ -109,8 +106,9 @@ def vector_topk(
 
 def _block_product(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
     best = partial(_best_in_block, k=k)
+    key_type = left.schema["query_id"].dataType.simpleString()
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda q, a: best(q, a), schema=_HITS
+        lambda q, a: best(q, a), schema=f"query_id {key_type}, id long, similarity double"
     )
 
 

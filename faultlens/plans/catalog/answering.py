@@ -39,7 +39,7 @@ def answer_fields(spark, d):
 
 
 def bad_answer_rows(spark, d):
-    read = an.answer_fields(an.parse_answers(views.answers(spark, d)))
+    read = an.answer_fields(an.parse_answers(stage(views.answers(spark, d), "answers")))
     return read.filter(F.col("root_cause") == "").select(
         "conv_id", "turn", "raw_content", F.array_join(an.parsed_keys(F.col("parsed")), ",").alias("parsed_keys")
     )

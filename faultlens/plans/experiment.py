@@ -34,7 +34,7 @@ def run_experiment(
     with the key columns case_id, strategy and mode and returns them with the answer.
     """
     plain = cases.select(
-        F.xxhash64("id").alias("query_id"), F.col("id").alias("case_id"), "category", "log",
+        F.col("id").alias("query_id"), F.col("id").alias("case_id"), "category", "log",
         "expected_root_cause", "expected_keywords",
         clip_bytes(F.col("log"), fv.CASE_SNIPPET_BYTES).alias("log_snippet"),
     )
