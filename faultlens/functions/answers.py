@@ -22,6 +22,17 @@ def _object_or_null(parsed: Column) -> Column:
     return F.when(F.startswith(_kind(parsed), F.lit("OBJECT")), parsed)
 
 
+def _strict_json(text: Column) -> Column:
+    """Variant of a text that is exactly one JSON value, else null.
+
+    The parser stops after the first value, so trailing text would pass. It cannot pass inside both an array
+    and an object: what closes one early is an error in the other.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull(), F.try_variant_get(named, "$.v", "variant"))
+
+
 def parse_answers(df: DataFrame, raw: str = "raw_content") -> DataFrame:
     """Adds ``parsed`` (variant object or null) and ``parse_kind``: whole, embedded, empty or failed.
 
@@ -29,9 +40,8 @@ def parse_answers(df: DataFrame, raw: str = "raw_content") -> DataFrame:
     """
     text = F.col(raw)
     embedded = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    staged = df.withColumn("_whole", F.try_parse_json(text)).withColumn(
-        "_part", F.when(F.startswith(_kind(F.col("_whole")), F.lit("OBJECT")), None).otherwise(
-            F.try_parse_json(F.nullif(embedded, F.lit(""))))
+    staged = df.withColumn("_whole", _strict_json(text)).withColumn(
+        "_part", F.when(F.startswith(_kind(F.col("_whole")), F.lit("OBJECT")), None).otherwise(_strict_json(embedded))
     )
     whole, part = _object_or_null(F.col("_whole")), _object_or_null(F.col("_part"))
     kind = (

@@ -25,9 +25,9 @@ JAVA_RULES = [
         ".",
     ),
     (
-        # a match may only start at the first word character of a run, or right after the match before
+        # a match starts at the first word character of a run, or right where the match before ended
         "email",
-        rf"(?:\G|(?<![{_RUN}]))([.%+-]*+)[{_RUN}]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}"
+        rf"(?:(?!^)\G|(?<![{_RUN}])([.%+-]*+))[{_RUN}]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}"
         rf"(?:(?<=\|)(?=[{_WORD}])|(?<=[A-Za-z])(?![{_WORD}]))",
         "$1[EMAIL_REDACTED]",
         "@",
