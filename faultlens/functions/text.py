@@ -30,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(text, TOKEN_BREAK), ""), fold_lower)
 
 
+def whole_div(value: Column, divisor: int) -> Column:
+    """Integer division without a detour over doubles."""
+    return F.call_function("div", value, F.lit(divisor))
+
+
 def clip_chars(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
@@ -60,7 +65,7 @@ def raw_hash_short(raw: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    return F.floor(F.octet_length(text) / F.lit(fv.BYTES_PER_TOKEN)).cast("int")
+    return whole_div(F.octet_length(text), fv.BYTES_PER_TOKEN).cast("int")
 
 
 def timestamp_range(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import fixed_values as fv
-from faultlens.functions.text import clip_bytes, fold_lower
+from faultlens.functions.text import clip_bytes, fold_lower, whole_div
 
 WHITE_SPACE = r"[\t-\r \x{85}\p{Z}]+"
 
@@ -15,7 +15,7 @@ def is_correct(df: DataFrame, predicted: str, expected: str, keywords: str, out:
     longer than three bytes does; case is ignored."""
     low = df.withColumn("_said", fold_lower(F.coalesce(predicted, F.lit(""))))
     hits = F.size(F.filter(keywords, lambda k: F.contains(F.col("_said"), fold_lower(k))))
-    half = F.floor(F.size(keywords) / F.lit(2))
+    half = whole_div(F.size(keywords), 2)
     shared = F.exists(
         F.split(fold_lower(F.col(expected)), WHITE_SPACE),
         lambda w: (F.octet_length(w) > 3) & F.contains(F.col("_said"), w),

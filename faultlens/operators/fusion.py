@@ -19,17 +19,31 @@ def _priority():
     return out
 
 
+def _ranks(hits: DataFrame) -> DataFrame:
+    """One row per query and article: its rank in each source, the first source, the rank there, n_fts.
+
+    Only integers are aggregated, which keeps this a hash aggregation.
+    """
+    ranks = hits.groupBy("query_id", "id").agg(
+        *[F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank") for s in SOURCES],
+        F.max("n_fts").alias("n_fts"),
+    )
+    first = F.lit(None).cast("string")
+    for source in reversed(SOURCES):
+        first = F.when(F.col(f"{source}_rank").isNotNull(), source).otherwise(first)
+    return ranks.withColumn("source", first).withColumn("rank", F.coalesce(*[f"{s}_rank" for s in SOURCES]))
+
+
 def merge_sources(hits: DataFrame) -> DataFrame:
     """Every article once per query, as the first source found it: adds ft_score and vec_score.
 
     Full-text hits score n..1 from best to last, substring hits a constant, vector hits their rank.
     """
-    first = hits.groupBy("query_id", "id").agg(F.min(F.struct(_priority().alias("p"), "rank", "source", "n_fts")).alias("m"))
-    return first.select(
-        "query_id", "id", "m.source", "m.rank",
-        F.when(F.col("m.source") == "fts", (F.col("m.n_fts") - F.col("m.rank") + 1).cast("double"))
-        .when(F.col("m.source") == "like", F.lit(fv.LIKE_SCORE)).alias("ft_score"),
-        F.when(F.col("m.source") == "vector", F.col("m.rank").cast("double")).alias("vec_score"),
+    return _ranks(hits).select(
+        "query_id", "id", "source", "rank",
+        F.when(F.col("source") == "fts", (F.col("n_fts") - F.col("rank") + 1).cast("double"))
+        .when(F.col("source") == "like", F.lit(fv.LIKE_SCORE)).alias("ft_score"),
+        F.when(F.col("source") == "vector", F.col("rank").cast("double")).alias("vec_score"),
     )
 
 
@@ -47,18 +61,13 @@ def rrf_fused(hits: DataFrame) -> DataFrame:
 
     The sum runs over fixed columns, not over rows, so equal rankings give bit-equal scores.
     """
-    ranks = hits.groupBy("query_id", "id").agg(
-        *[F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank") for s in SOURCES],
-        F.min(F.struct(_priority().alias("p"), "rank", "source")).alias("m"),
-    )
-
     def part(source: str):
         return F.coalesce(F.lit(1.0) / (F.lit(float(fv.RRF_K)) + F.col(f"{source}_rank")), F.lit(0.0))
 
     total = part(SOURCES[0])
     for source in SOURCES[1:]:
         total = total + part(source)
-    return ranks.select("query_id", "id", "m.source", "m.rank", total.alias("rrf_score"))
+    return _ranks(hits).select("query_id", "id", "source", "rank", total.alias("rrf_score"))
 
 
 def score_normalise(scored: DataFrame) -> DataFrame:

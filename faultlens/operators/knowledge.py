@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import articles as art
 from faultlens.functions import fixed_values as fv
-from faultlens.functions.text import clip_chars, embed_text
+from faultlens.functions.text import clip_chars, embed_text, whole_div
 from faultlens.operators.embedding import hashed_vectors
 
 TEXT_FIELDS = ["title", "content", "category", "keywords", "symptoms"]
@@ -106,7 +106,7 @@ def number_rows(rows: DataFrame, start: DataFrame, out: str = "id") -> DataFrame
         .join(F.broadcast(last), "_one")  # one row
         .select(*fields, "_times", (F.col("last_id") + F.col("_before") + F.col("_inner") + 1).alias("_first"))
     )
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / F.lit(COPY_CHUNK))))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), whole_div(F.col("_times") - 1, COPY_CHUNK)))
     chunks = first.withColumn("_chunk", chunk)
     rest = F.least(F.col("_times") - F.col("_chunk") * COPY_CHUNK, F.lit(COPY_CHUNK).cast("long"))
     spread = chunks.select(

@@ -110,9 +110,14 @@ def like_match(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFram
 
 
 def like_distinct(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
-    """Each article once per query, ranked by id: (query_id, id, rank)."""
-    found = like_match(queries, kb, k).select("query_id", "id").distinct()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    """Each article once per query, ranked by id: (query_id, id, rank).
+
+    A query has at most k hits per keyword of the closed list, so its ids fit one small array.
+    """
+    ids = like_match(queries, kb, k).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return ids.select("query_id", F.posexplode("ids").alias("pos", "id")).select(
+        "query_id", "id", (F.col("pos") + 1).alias("rank")
+    )
 
 
 def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:

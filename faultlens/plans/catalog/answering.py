@@ -11,7 +11,7 @@ from faultlens.functions import answers as an
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.masking import mask
 from faultlens.functions.prompts import pick_strategy
-from faultlens.functions.text import log_fingerprint, token_estimate
+from faultlens.functions.text import log_fingerprint, token_estimate, whole_div
 from faultlens.operators import knowledge as kn
 from faultlens.operators.hybrid import hybrid_search, retrieved_ids
 from faultlens.operators.inference import model_answers, recorded_answers
@@ -91,7 +91,7 @@ def _first_answers(spark, d):
 def recorded_answers_query(spark, d):
     """Answers recorded under the hash of their prompt, then found again."""
     prompts = _direct_prompts(spark, d).select("query_id", "system_prompt", "user_prompt")
-    record = prompts.withColumn("conv_id", F.floor(F.col("query_id") / F.lit(4))).join(_first_answers(spark, d), "conv_id")
+    record = prompts.withColumn("conv_id", whole_div(F.col("query_id"), 4)).join(_first_answers(spark, d), "conv_id")
     record = record.select(
         F.sha2("user_prompt", 256).alias("prompt_hash"), "raw_content",
         token_estimate(F.col("user_prompt")).alias("total_tokens"), (F.col("conv_id") + 1000).alias("latency_ms"),
@@ -126,7 +126,7 @@ def _diagnosed(spark, d):
             F.array(F.lit("restart")).alias("solution_steps"), F.lit(0.25).alias("confidence"),
         ).alias("diagnosis_result"),
     )
-    answer = _answerer(spark, d, ["query_id"], lambda: F.floor(F.col("query_id") / F.lit(4)))
+    answer = _answerer(spark, d, ["query_id"], lambda: whole_div(F.col("query_id"), 4))
     return diagnose_batch(logs, views.kb_text(spark, d), earlier, answer, embed=None)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.functions import fixed_values as fv
+from faultlens.functions.text import whole_div
 from faultlens.operators import evaluation as ev
 from faultlens.operators.hybrid import hybrid_search
 from faultlens.plans.catalog import sql as s
@@ -132,7 +133,7 @@ def _grid(spark, d):
     number = F.substring("case_id", 6, 12).cast("long")
     shift = F.when(F.col("strategy") == "ZERO_SHOT", 0).when(F.col("strategy") == "FEW_SHOT", 7).otherwise(14)
     shift = shift + F.when(F.col("mode") == "RAG", 0).otherwise(3)
-    answer = _answerer(spark, d, KEY, lambda: F.floor(number / F.lit(4)) + shift)
+    answer = _answerer(spark, d, KEY, lambda: whole_div(number, 4) + shift)
     return stage(run_experiment(views.cases(spark, d), kb_embedded(spark, d), answer), "grid")
 
 

@@ -17,7 +17,7 @@ LIMIT = SMALL * fv.BYTES_PER_TOKEN
 
 
 def _documents(spark, d):
-    return views.table(spark, d, "documents")
+    return views.spread(views.table(spark, d, "documents"), "doc_id")
 
 
 def mask_pii(spark, d):

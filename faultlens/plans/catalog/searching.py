@@ -21,6 +21,10 @@ def _passages(spark, d):
     return views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def _kb(spark, d):
+    return views.spread(views.kb_text(spark, d), "id")
+
+
 def _round(df, *names):
     for name in names:
         df = df.withColumn(name, F.round(name, 6))
@@ -33,13 +37,13 @@ def prepared(spark, d):
 
 def kb_embedded(spark, d):
     """Articles with the hashed vector of title and content, written once."""
-    kb = views.kb_text(spark, d)
+    kb = _kb(spark, d)
     texts = kb.select("id", embed_text(F.col("title"), F.col("content")).alias("text"))
     return stage(kb.join(hashed_vectors(texts, "id", "text"), "id", "left"), "kb")
 
 
 def embed_column(spark, d):
-    kb = views.kb_text(spark, d)
+    kb = _kb(spark, d)
     texts = kb.select("id", embed_text(F.col("title"), F.col("content")).alias("text"))
     vectors = hashed_vectors(texts, "id", "text")
     micros = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
@@ -47,24 +51,24 @@ def embed_column(spark, d):
 
 
 def fts_match(spark, d):
-    return _round(ts.fts_match(_passages(spark, d), views.kb_text(spark, d)), "score")
+    return _round(ts.fts_match(_passages(spark, d), _kb(spark, d)), "score")
 
 
 def fts_topk(spark, d):
-    return _round(ts.fts_topk(_passages(spark, d), views.kb_text(spark, d)), "score")
+    return _round(ts.fts_topk(_passages(spark, d), _kb(spark, d)), "score")
 
 
 def fts_keywords(spark, d):
     asked = prepared(spark, d).select("query_id", F.array_join("keywords", " ").alias("query_text"))
-    return _round(ts.fts_topk(asked, views.kb_text(spark, d)), "score")
+    return _round(ts.fts_topk(asked, _kb(spark, d)), "score")
 
 
 def like_match(spark, d):
-    return ts.like_match(prepared(spark, d).select("query_id", "keywords"), views.kb_text(spark, d))
+    return ts.like_match(prepared(spark, d).select("query_id", "keywords"), _kb(spark, d))
 
 
 def like_distinct(spark, d):
-    return ts.like_distinct(prepared(spark, d).select("query_id", "keywords"), views.kb_text(spark, d))
+    return ts.like_distinct(prepared(spark, d).select("query_id", "keywords"), _kb(spark, d))
 
 
 def _vectors(spark, d):
@@ -129,7 +133,7 @@ def hybrid(spark, d, method="fused"):
 
 
 def hybrid_text_only(spark, d):
-    found = hybrid_search(prepared(spark, d), views.kb_text(spark, d), embed=None)
+    found = hybrid_search(prepared(spark, d), _kb(spark, d), embed=None)
     return _round(found, "similarity_score")
 
 

@@ -9,23 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultlens.functions import fixed_values as fv
-from faultlens.functions.text import clip_chars
+from faultlens.functions.text import clip_chars, whole_div
 
 HOSTS = 50
 BLOCK = 1000
 FAULTS = fv.KEY_ERRORS + fv.RETRIEVAL_WORDS
 
 
-KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, KEYS[name]) if name in KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads the rows over the cores if the files have fewer splits than that; larger inputs stay as they are."""
+    """For heavy work per row: spreads the rows over the cores if the files have fewer splits than that.
+
+    Larger inputs stay as they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
@@ -40,7 +39,7 @@ def _text(*parts) -> Column:
 
 def event_lines(events: DataFrame) -> DataFrame:
     """One log line (or stack trace) per event: log_id, ts, event_id, user_id, line."""
-    host, block = F.col("user_id") % HOSTS, F.floor(F.col("event_id") / F.lit(BLOCK))
+    host, block = F.col("user_id") % HOSTS, whole_div(F.col("event_id"), BLOCK)
     base = events.select(
         (block * HOSTS + host).alias("log_id"),
         "ts", "event_id", "user_id", "event_type",
@@ -158,7 +157,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("case_"), F.col("user_id").cast("string")).alias("case_id"),
         F.col("event_type").alias("category"),
-        F.element_at(modes, (F.floor(event_id / F.lit(4)) % 2 + 1).cast("int")).alias("mode"),
+        F.element_at(modes, (whole_div(event_id, 4) % 2 + 1).cast("int")).alias("mode"),
         F.element_at(strategies, (event_id % 4 + 1).cast("int")).alias("strategy"),
         F.concat(F.lit('cause "'), fault(event_id), F.lit('", seen '), k.cast("string"), F.lit(" times")).alias("predicted_cause"),
         F.concat(F.lit("expected "), fault(event_id + k)).alias("expected_cause"),
