@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",  # the last of equal keys counts
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site lookup per column
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -29,8 +29,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def pick(words: list[str], index: Column) -> Column:
+    """One of the words by index, round and round."""
+    listed = F.split(F.lit("\x01".join(words)), "\x01")
+    return F.element_at(listed, (index % len(words) + 1).cast("int"))
+
+
 def fault(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in FAULTS]), (index % len(FAULTS) + 1).cast("int"))
+    return pick(FAULTS, index)
 
 
 def _text(*parts) -> Column:
@@ -81,10 +87,9 @@ def logs_of_lines(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("content"),
         F.min("ts").alias("ts"),
     )
-    names = F.array(*[F.lit(s) for s in ["zero_shot", "cot", "FEW_SHOT", "unknown"]])
     return logs.select(
         "log_id", "content", F.lit("PASTE").alias("source_type"), "ts",
-        F.element_at(names, (F.col("log_id") % 4 + 1).cast("int")).alias("strategy"),
+        pick(["zero_shot", "cot", "FEW_SHOT", "unknown"], F.col("log_id")).alias("strategy"),
         (F.col("log_id") % 3 != 0).alias("use_rag"),
     )
 
@@ -115,11 +120,10 @@ def kb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per log: id, category, log, expected_root_cause, expected_keywords"""
     log_id = F.col("log_id")
-    groups = F.array(*[F.lit(c) for c in fv.CASE_CATEGORIES])
     words = F.array(*[fault(log_id * 3 + i * 5) for i in range(6)])
     return raw_logs(spark, sf_dir).select(
         F.concat(F.lit("case_"), F.lpad(log_id.cast("string"), 6, "0")).alias("id"),
-        F.element_at(groups, (log_id % len(fv.CASE_CATEGORIES) + 1).cast("int")).alias("category"),
+        pick(fv.CASE_CATEGORIES, log_id).alias("category"),
         F.col("content").alias("log"),
         F.concat(F.lit("服务异常 "), fault(log_id), F.lit(" 与 "), fault(log_id + 1)).alias("expected_root_cause"),
         F.slice(words, F.lit(1), (log_id % 3 + 4).cast("int")).alias("expected_keywords"),
@@ -152,13 +156,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment result rows from events."""
     event_id, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
-    strategies = F.array(*[F.lit(s) for s in fv.STRATEGIES + ["OTHER"]])
-    modes = F.array(*[F.lit(m) for m in fv.MODES])
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("case_"), F.col("user_id").cast("string")).alias("case_id"),
         F.col("event_type").alias("category"),
-        F.element_at(modes, (whole_div(event_id, 4) % 2 + 1).cast("int")).alias("mode"),
-        F.element_at(strategies, (event_id % 4 + 1).cast("int")).alias("strategy"),
+        pick(fv.MODES, whole_div(event_id, 4)).alias("mode"),
+        pick(fv.STRATEGIES + ["OTHER"], event_id).alias("strategy"),
         F.concat(F.lit('cause "'), fault(event_id), F.lit('", seen '), k.cast("string"), F.lit(" times")).alias("predicted_cause"),
         F.concat(F.lit("expected "), fault(event_id + k)).alias("expected_cause"),
         (k + event_id % 4 * 10 < 70).alias("is_correct"),
@@ -195,7 +197,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((doc_id % 64) / F.lit(64.0)).alias("confidence"),
         ).alias("diagnosis_result"),
         F.lit(fv.MODEL_NAME).alias("model_used"),
-        F.element_at(F.array(*[F.lit(s) for s in fv.STRATEGIES]), (doc_id % 3 + 1).cast("int")).alias("prompt_strategy"),
+        pick(fv.STRATEGIES, doc_id).alias("prompt_strategy"),
         F.col("n_chars").alias("total_tokens"),
         (doc_id * 13 % 5000).alias("latency_ms"),
         F.timestamp_seconds(F.lit(1704067200) + doc_id * 977 % 86400).alias("created_at"),
