@@ -50,7 +50,8 @@ def _query_sets(queries: DataFrame) -> DataFrame:
 
 def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """(q_key, id, score) for every distinct word set."""
-    sets = _query_sets(queries).select("q_key", "q_tokens").dropDuplicates(["q_key"])
+    # the key is the whole set, so only the key is made distinct (a plain hash aggregation)
+    sets = _query_sets(queries).select("q_key").distinct().withColumn("q_tokens", F.split("q_key", " "))
     set_words = sets.select("q_key", F.size("q_tokens").alias("n_words"), F.explode_outer("q_tokens").alias("word"))
     vocabulary = set_words.select("word").distinct()
 
@@ -126,8 +127,8 @@ def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
     The searches see each distinct keyword list once. Their bounded hit list (at most k + k per keyword)
     travels as one array per list, so joining it back to the logs is a plain one-to-many lookup.
     """
-    keyed = logs.select("query_id", "keywords", F.array_join("keywords", "\x01").alias("list_key"))
-    lists = keyed.select("list_key", "keywords").dropDuplicates(["list_key"])
+    keyed = logs.select("query_id", F.array_join("keywords", "\x01").alias("list_key"))
+    lists = keyed.select("list_key").distinct().withColumn("keywords", F.split("list_key", "\x01"))
     asked = lists.select(
         F.col("list_key").alias("query_id"), "keywords", F.array_join("keywords", " ").alias("query_text")
     )

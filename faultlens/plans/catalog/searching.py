@@ -10,7 +10,7 @@ from faultlens.functions.text import embed_text
 from faultlens.functions.vectors import cosine_similarity, float32_vector
 from faultlens.operators import fusion, textsearch as ts, vectorsearch as vs
 from faultlens.operators.embedding import hashed_vectors
-from faultlens.operators.hybrid import all_hits, hybrid_search, retrieved_ids
+from faultlens.operators.hybrid import all_hits, hybrid_search, retrieved_ids, with_articles
 from faultlens.plans.catalog import sql as s
 from faultlens.plans.diagnose import prepare_logs
 from faultlens.sources import views
@@ -132,6 +132,12 @@ def hybrid(spark, d, method="fused"):
     return _round(hybrid_search(prepared(spark, d), kb_embedded(spark, d), method=method), "similarity_score")
 
 
+def hybrid_articles(spark, d):
+    kb = kb_embedded(spark, d)
+    found = with_articles(hybrid_search(prepared(spark, d), kb), kb)
+    return _round(found.withColumn("content", F.md5("content")), "similarity_score")
+
+
 def hybrid_text_only(spark, d):
     found = hybrid_search(prepared(spark, d), _kb(spark, d), embed=None)
     return _round(found, "similarity_score")
@@ -161,6 +167,7 @@ QUERIES = {
     "hybrid_search": hybrid,
     "hybrid_search_first_source": partial(hybrid, method="first_source"),
     "hybrid_search_text_only": hybrid_text_only,
+    "hybrid_search_articles": hybrid_articles,
     "retrieved_ids": retrieved,
 }
 
@@ -198,6 +205,8 @@ FROM near WHERE similarity > 0""",
     + "SELECT qid AS query_id, CAST(hit_rank AS INT) AS hit_rank, id, round(similarity_score, 6) AS similarity_score FROM final",
     "hybrid_search_text_only": _W(*_P, s.hits(vectors=False), s.FUSED, s.ranked())
     + "SELECT qid AS query_id, CAST(hit_rank AS INT) AS hit_rank, id, round(similarity_score, 6) AS similarity_score FROM final",
+    "hybrid_search_articles": _ALL + """SELECT qid AS query_id, CAST(hit_rank AS INT) AS hit_rank, final.id,
+  round(similarity_score, 6) AS similarity_score, title, md5(content) AS content, category FROM final JOIN kb ON kb.id = final.id""",
     "retrieved_ids": _ALL + """SELECT qid AS query_id, CAST(count(*) AS INT) AS n_hits,
   string_agg(CAST(id AS VARCHAR), ',' ORDER BY hit_rank) AS retrieved_doc_ids FROM final GROUP BY qid""",
 }

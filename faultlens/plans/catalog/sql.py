@@ -100,7 +100,7 @@ lines AS (
       ' [svc', host, '] ',
       CASE
         WHEN event_type = 'error' AND k < 50 AND event_id % 3 = 0 THEN concat({fault('log_id + event_id % 2')},
-          ' in worker', chr(10), '    at com.shop.Worker.run(Worker.java:', k, ') ERROR frame', chr(10),
+          ' in worker', chr(10), '    at com.shop.Worker.run(Worker.java:', k, ') WARN frame', chr(10),
           'Caused by: java.io.IOException: ', {fault('log_id + event_id % 2')})
         WHEN event_type = 'error' AND k < 50 THEN concat({fault('log_id + event_id % 2')}, ' for user', user_id)
         WHEN event_type = 'error' THEN concat('request failed, retry ', k)

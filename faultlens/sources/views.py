@@ -56,7 +56,7 @@ def event_lines(events: DataFrame) -> DataFrame:
     name = fault(F.col("log_id") + event_id % 2)
     body = (
         F.when((F.col("event_type") == "error") & (k < 50) & (event_id % 3 == 0), _text(
-            name, " in worker\n    at com.shop.Worker.run(Worker.java:", k, ") ERROR frame\n",
+            name, " in worker\n    at com.shop.Worker.run(Worker.java:", k, ") WARN frame\n",
             "Caused by: java.io.IOException: ", name))
         .when((F.col("event_type") == "error") & (k < 50), _text(name, " for user", user_id))
         .when(F.col("event_type") == "error", _text("request failed, retry ", k))

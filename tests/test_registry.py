@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 PARTS = {
     "merge_sources", "rrf_score", "rrf_fused", "score_normalise", "score_threshold", "retrieved_ids", "hit_rate",
     "hit_rate_cases", "diagnose_bad_answers", "experiment_report", "fts_keywords", "like_match", "miss_to_cot",
-    "stream_retrieve", "hybrid_search_text_only", "recorded_answers", "assemble_prompt",
+    "stream_retrieve", "hybrid_search_text_only", "hybrid_search_articles", "recorded_answers", "assemble_prompt",
 }
 NAMES = [n for n in entry.oracle_sql() if os.environ.get("FAULTLENS_ALL") or n not in PARTS]
 
