@@ -8,13 +8,15 @@ import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# steps of longer queries that are compared as part of them; FAULTLENS_ALL=1 runs them here too
-PARTS = {
+# slow ones: steps of longer queries, or whole jobs that have their own fixtures; FAULTLENS_ALL=1 runs them here too
+SLOW = {
     "merge_sources", "rrf_score", "rrf_fused", "score_normalise", "score_threshold", "retrieved_ids", "hit_rate",
-    "hit_rate_cases", "diagnose_bad_answers", "experiment_report", "fts_keywords", "like_match", "miss_to_cot",
-    "stream_retrieve", "hybrid_search_text_only", "hybrid_search_articles", "recorded_answers", "assemble_prompt",
+    "hit_rate_cases", "hit_rate_grade", "diagnose_bad_answers", "diagnose_batch", "auto_learn", "run_experiment",
+    "experiment_report", "fts_keywords", "fts_match", "like_match", "miss_to_cot", "stream_retrieve",
+    "hybrid_search_text_only", "hybrid_search_articles", "hybrid_search_first_source", "recorded_answers",
+    "assemble_prompt", "llm_answers", "kb_seed", "embed_report", "vector_rank",
 }
-NAMES = [n for n in entry.oracle_sql() if os.environ.get("FAULTLENS_ALL") or n not in PARTS]
+NAMES = [n for n in entry.oracle_sql() if os.environ.get("FAULTLENS_ALL") or n not in SLOW]
 
 
 @pytest.fixture(scope="module")
