@@ -11,7 +11,8 @@ from faultlens.llm.tables import fold
 from faultlens.llm.textops import blobs, hashed, mix
 from faultlens.session import work_path
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
+BLOCKS_PER_SHARD = 3
 BUCKETS = 24  # contexts by the power of two of their frequency
 STEPS = 4  # cells per power of two in the held-out counts
 EM_ROUNDS = 100
@@ -38,18 +39,31 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens | _ODD, pair & ~_ODD, bounds
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of equal width."""
-    steps = np.diff(keys, prepend=np.uint64(0))
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys (one at least): the first, then differences of equal width."""
+    steps = np.diff(keys)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack_keys(blob: bytes) -> np.ndarray:
     width = blob[0]
-    wide = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    wide = np.zeros(((len(blob) - 9) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 1), wide.view("<u8").ravel()]), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte per count; 255 stands for the next of the large ones, which follow."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return len(small).to_bytes(8, "little") + small.tobytes() + counts[small == 255].astype("<i8").tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=8 + n)
+    return out
 
 
 def _edges(n_shards: int) -> np.ndarray:
@@ -63,9 +77,9 @@ def _ask(group: pa.Table, n_shards: int) -> pa.Table:
     word, pair, bounds = _keys(blobs(table.column("text").combine_chunks()))
     learn = np.repeat(~table.column("held_out").to_numpy(), np.diff(bounds))
     keys, inverse = np.unique(np.concatenate([word, pair]), return_inverse=True)
-    counts = np.bincount(inverse, weights=np.concatenate([learn, learn]), minlength=len(keys)).astype("<u4")
+    counts = np.bincount(inverse, weights=np.concatenate([learn, learn]), minlength=len(keys)).astype(np.int64)
     cuts = [0, *np.searchsorted(keys, _edges(n_shards)), len(keys)]
-    rows = [(s, block, pack(keys[i:j]), counts[i:j].tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+    rows = [(s, block, pack_keys(keys[i:j]), pack_counts(counts[i:j])) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                     names=["shard", "block", "keys", "counts"])
 
@@ -76,15 +90,15 @@ def _serve(group: pa.Table) -> pa.Table:
     A further row (block -1) has the shard's number of training tokens and of words seen in training.
     """
     shard = group.column("shard")[0].as_py()
-    asked = [unpack(k) for k in group.column("keys").to_pylist()]
-    mine = [np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()]
+    asked = [unpack_keys(k) for k in group.column("keys").to_pylist()]
+    mine = [unpack_counts(c) for c in group.column("counts").to_pylist()]
     keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(mine), minlength=len(keys)).astype("<i8")
+    total = np.bincount(inverse, weights=np.concatenate(mine), minlength=len(keys)).astype(np.int64)
     answers = np.split(total[inverse], np.cumsum([len(a) for a in asked])[:-1])
     words = total[(keys & _ODD) == 1]
-    stats = np.array([words.sum(), (words > 0).sum()], "<i8")
+    stats = np.array([words.sum(), (words > 0).sum()])
     blocks = [*group.column("block").to_pylist(), -1]
-    return pa.table([pa.array(blocks, pa.int64()), pa.array([shard] * len(blocks), pa.int64()), pa.array([a.tobytes() for a in answers] + [stats.tobytes()], pa.binary())],
+    return pa.table([pa.array(blocks, pa.int64()), pa.array([shard] * len(blocks), pa.int64()), pa.array([pack_counts(a) for a in [*answers, stats]], pa.binary())],
                     names=["block", "shard", "answer"])
 
 
@@ -118,9 +132,9 @@ def _profile(texts: pa.Table, answers: pa.Table) -> pa.Table:
     parts = answers.column("answer").to_pylist()
     if not texts.num_rows:
         for i in order:
-            add(stats=np.frombuffer(parts[i], "<i8"))
+            add(stats=unpack_counts(parts[i]))
     else:
-        total = np.concatenate([np.frombuffer(parts[i], "<i8") for i in order])
+        total = np.concatenate([unpack_counts(parts[i]) for i in order])
         word, pair, bounds = _keys(blobs(texts.column("text").combine_chunks()))
         keys, inverse = np.unique(np.concatenate([word, pair]), return_inverse=True)
         c1, c2 = total[inverse[:len(word)]], total[inverse[len(word):]]
@@ -195,7 +209,8 @@ def score(docs: DataFrame, held: int = 7, held_rest: int = 2, block_bytes: int =
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n_blocks = n_shards = max(1, -(-size // block_bytes))
+    n_blocks = max(1, -(-size // block_bytes))
+    n_shards = -(-n_blocks // BLOCKS_PER_SHARD)
     texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks))).select("block", "doc_id", "held_out", "text")
     asked = texts.groupBy("block").applyInArrow(lambda t: _ask(t, n_shards), "shard long, block long, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_serve, "block long, shard long, answer binary")
