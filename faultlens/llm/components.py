@@ -29,7 +29,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.distinct(), "large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # few per node: each has one row per larger centre
         down = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _fingerprint(edges)
