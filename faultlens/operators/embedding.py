@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,28 +20,33 @@ def _hex_digit(word_hash: Column, pos: int) -> Column:
     return F.instr(F.lit(_HEX), F.substring(word_hash, pos, 1)) - 1
 
 
-def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, embedding): words hashed into 64 signed counters, scaled to unit length.
+def _signed_bucket(word: Column) -> Column:
+    """1 .. 64, negative where the word counts down."""
+    h = F.md5(word)
+    bucket = (_hex_digit(h, 1) % 4) * 16 + _hex_digit(h, 2) + 1
+    return F.when(_hex_digit(h, 3) < 8, bucket).otherwise(-bucket)
+
+
+def _unit_vectors(buckets: pd.Series) -> pd.Series:
+    rows = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets]
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) * DIM + np.abs(flat) - 1
+    sums = np.bincount(at, weights=np.sign(flat), minlength=len(rows) * DIM).reshape(-1, DIM)
+    length = np.sqrt((sums * sums).sum(axis=1))
+    return pd.Series([(s / n).astype(np.float32) if n > 0 else None for s, n in zip(sums, length)], dtype=object)
 
-    ``key`` must be unique. Texts without words, or whose counters cancel out, get null.
+
+def hashed_vector(text: Column) -> Column:
+    """Words hashed into 64 signed counters, scaled to unit length; null without words, or where all cancel out.
+
+    Words are hashed by built-in functions; one vectorised function per Arrow batch counts and scales. No shuffle.
     """
-    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("_word")).select(
-        key, F.md5("_word").alias("_hash")
-    )
-    bucket = (_hex_digit(F.col("_hash"), 1) % 4) * 16 + _hex_digit(F.col("_hash"), 2)
-    sign = F.when(_hex_digit(F.col("_hash"), 3) < 8, 1).otherwise(-1)
-    # first per text and counter, map-side: at most 64 small records per text go on
-    sums = words.groupBy(key, bucket.alias("_bucket")).agg(F.sum(sign).cast("double").alias("_sum"))
-    used = F.col("_bucket").isNotNull()
-    counted = sums.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(used, F.struct("_bucket", "_sum")))).alias("_sums"),
-        F.sqrt(F.sum(F.when(used, F.col("_sum") * F.col("_sum")))).alias("_length"),
-    )
-    unit = F.transform(
-        F.sequence(F.lit(0), F.lit(DIM - 1)),
-        lambda j: F.try_divide(F.coalesce(F.try_element_at("_sums", j), F.lit(0.0)), F.col("_length")),
-    )
-    return counted.select(key, F.when(F.col("_length") > 0, unit.cast("array<float>")).alias("embedding"))
+    return F.pandas_udf(_unit_vectors, "array<float>")(F.transform(tokens(text), _signed_bucket))
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, embedding), a row for each row; keys need not be unique."""
+    return df.select(key, hashed_vector(F.col(text)).alias("embedding"))
 
 
 def model_vectors(

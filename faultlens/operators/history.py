@@ -82,13 +82,26 @@ def first_per_day(logs: DataFrame, hours: int = 24) -> DataFrame:
     the first log of a hash can be new, so the rows shrink to one record per hash and hour (map-side) before
     any of them is compared; a hash that makes up a third of all logs costs no more than its hours.
     """
-    hourly = logs.groupBy("log_hash", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(
-        F.min(F.struct("ts", "log_id")).alias("first"), F.max("ts").alias("last_ts")
+    return new_in_hours(hourly_records(logs), hours)
+
+
+def hourly_records(logs: DataFrame) -> DataFrame:
+    """(log_hash, hour, first(ts, log_id), last_ts): a record per hash and hour."""
+    return logs.groupBy("log_hash", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(
+        F.min(F.struct(F.col("ts").cast("timestamp").alias("ts"), "log_id")).alias("first"), F.max(F.col("ts").cast("timestamp")).alias("last_ts")
     )
-    seen = F.lag("last_ts").over(Window.partitionBy("log_hash").orderBy("hour"))
-    gap = F.expr(f"INTERVAL {hours} HOURS")
+
+
+def new_in_hours(hourly: DataFrame, hours: int) -> DataFrame:
+    """First logs of hours before which the hash was not seen for more than ``hours``.
+
+    Records without an hour say when a hash was last seen in earlier batches.
+    """
+    earlier = Window.partitionBy("log_hash").orderBy(F.col("hour").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    seen, gap = F.max("last_ts").over(earlier), F.expr(f"INTERVAL {hours} HOURS")
+    first = F.col("first.ts")
     return (
         hourly.withColumn("seen", seen)
-        .filter(F.col("seen").isNull() | (F.col("first.ts") > F.col("seen") + gap))
+        .filter(F.col("hour").isNotNull() & (F.col("seen").isNull() | (first > F.col("seen") + gap) | (first < F.col("seen") - gap)))
         .select("log_hash", "first.ts", "first.log_id")
     )

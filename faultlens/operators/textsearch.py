@@ -5,6 +5,8 @@ Both searches run once per distinct query, not once per log: logs share few dist
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import fixed_values as fv
@@ -13,6 +15,9 @@ from faultlens.functions.text import tokens
 from faultlens.sources.stage import stage
 
 
+OPEN_KEYWORDS = 1000
+
+
 def article_text(content: Column, keywords: Column) -> Column:
     return F.concat(F.coalesce(content, F.lit("")), F.lit(" "), F.coalesce(keywords, F.lit("")))
 
@@ -39,13 +44,13 @@ def fts_topk(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
 
 
 def _query_sets(queries: DataFrame) -> DataFrame:
-    """Queries with their word set and a key that equal word sets share."""
+    """Queries with their word set and a key that equal word sets share.
+
+    Queries without words stay here and find nothing later: a filter on the words would be pushed through the
+    projections that make the text, and multiply them.
+    """
     words = F.array_sort(F.array_distinct(tokens(F.col("query_text"))))
-    return (
-        queries.select("query_id", words.alias("q_tokens"))
-        .filter(F.size("q_tokens") > 0)
-        .withColumn("q_key", F.array_join("q_tokens", " "))
-    )
+    return queries.select("query_id", words.alias("q_tokens")).withColumn("q_key", F.array_join("q_tokens", " "))
 
 
 def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
@@ -104,10 +109,34 @@ def like_hits(kb: DataFrame, k: int = fv.TOP_K, words: list[str] | None = None)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
+def open_hits(kb: DataFrame, keywords: DataFrame, k: int = fv.TOP_K, at_once: int = OPEN_KEYWORDS) -> DataFrame:
+    """(keyword, id) for distinct keywords(keyword) of any kind: the first k articles per keyword.
+
+    A substring has no key to join on: keywords are broadcast in slices of at most ``at_once``, and the articles are
+    read once per slice. At most k rows per keyword and task leave the articles.
+    """
+    slices = max(1, -(-keywords.count() // at_once))
+    found = []
+    for number in range(slices):
+        some = keywords.filter(F.pmod(F.xxhash64("keyword"), F.lit(slices)) == number)
+        found.append(kb.join(F.broadcast(some), F.expr("symptoms LIKE concat('%', keyword, '%')")).select("keyword", "id"))
+    order = Window.partitionBy("keyword").orderBy("id")
+    hits = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return hits.filter(F.col("rank") <= k).drop("rank")
+
+
 def like_match(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
-    """queries(query_id, keywords) -> (query_id, keyword, id)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
-    return asked.join(like_hits(kb, k), "keyword").select("query_id", "keyword", "id")
+    """queries(query_id, keywords) -> (query_id, keyword, id), for keywords of any kind.
+
+    Words of the closed list are tested in one projection of the articles; the other distinct keywords of the
+    queries are looked up by ``open_hits``. Keywords under the least length find nothing.
+    """
+    asked = stage(queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword")), "asked")
+    known = F.col("keyword").isin(search_vocabulary())
+    other = asked.filter(~known & (F.octet_length("keyword") >= fv.MIN_KEYWORD_BYTES)).select("keyword").distinct()
+    other = stage(other, "open-keywords")
+    hits = like_hits(kb, k).unionByName(open_hits(kb, other, k))
+    return asked.join(hits, "keyword").select("query_id", "keyword", "id")
 
 
 def like_distinct(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
@@ -128,7 +157,8 @@ def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
     travels as one array per list, so joining it back to the logs is a plain one-to-many lookup.
     """
     keyed = logs.select("query_id", F.array_join("keywords", "\x01").alias("list_key"))
-    lists = keyed.select("list_key").distinct().withColumn("keywords", F.split("list_key", "\x01"))
+    # written: what follows must not be optimised together with the making of the keywords
+    lists = stage(keyed.select("list_key").distinct(), "keyword-lists").withColumn("keywords", F.split("list_key", "\x01"))
     asked = lists.select(
         F.col("list_key").alias("query_id"), "keywords", F.array_join("keywords", " ").alias("query_text")
     )

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import fixed_values as fv
+from faultlens.sources.stage import stage
 
 ARTICLE_BLOCK = 8192
 QUERY_BLOCK = 4096
@@ -137,12 +138,11 @@ def vector_topk_ann(
     cells across its nearest planes. Scores of the hits are exact.
 
     Cells are split into parts of at most about ``cell_rows`` articles and queries, so a crowded cell becomes
-    many tasks instead of one.
+    many tasks instead of one. Queries whose cells hold fewer than k articles are searched exactly, so none is
+    short of k while there are candidates.
     """
     if n_bits is None:
-        n_bits = math.ceil(math.log2(_n_blocks(articles, "id", n_articles, cell_rows)))
-    if n_bits == 0:
-        return vector_topk(queries, articles, k, vector, dim, n_queries=n_queries, n_articles=n_articles)
+        n_bits = max(1, math.ceil(math.log2(_n_blocks(articles, "id", n_articles, cell_rows))))
     queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
     planes = np.random.default_rng(20240101).standard_normal((n_bits, dim))
     n_probe = min(n_probe, n_bits + 1)
@@ -154,8 +154,9 @@ def vector_topk_ann(
 
         return of
 
-    homes = articles.withColumn("cell", F.element_at(cells(1)("vec"), 1))
-    visits = queries.withColumn("cell", F.explode(cells(n_probe)("vec")))
+    # written: the layout and the join both read them
+    homes = stage(articles.withColumn("cell", F.element_at(cells(1)("vec"), 1)), "homes")
+    visits = stage(queries.withColumn("cell", F.explode(cells(n_probe)("vec"))), "visits")
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(name))
@@ -174,7 +175,11 @@ def vector_topk_ann(
         .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
         .select("id", "vec", "cell", "q_part", "a_part")
     )
-    return _merge(_block_product(left, right, ["cell", "q_part", "a_part"], k), k)
+    found = stage(_merge(_block_product(left, right, ["cell", "q_part", "a_part"], k), k), "cell-hits")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = stage(queries.join(full, "query_id", "left_anti"), "short-queries")
+    rest = vector_topk(short, articles, k, "vec", n_articles=n_articles)
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
 
 
 def vector_rank(hits: DataFrame) -> DataFrame:

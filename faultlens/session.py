@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +23,22 @@ SETTINGS = {
 }
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _own_folder() -> str:
+    """A folder that goes when this process ends."""
+    folder = tempfile.mkdtemp(prefix="faultlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cores: int = 8, memory: str = "12g", **extra: str) -> SparkSession:
-    """A session on this machine for tests and the bench; a cluster brings its own."""
+    """A session on this machine for tests and the bench; a cluster brings its own.
+
+    Its work folder is a new one, unless ``spark.checkpoint.dir`` is given.
+    """
+    extra.setdefault("spark.checkpoint.dir", _own_folder())
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("faultlens")
@@ -41,11 +58,11 @@ def local_session(cores: int = 8, memory: str = "12g", **extra: str) -> SparkSes
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (single-machine tests) a folder of our own is made.
+    Only where a session on a single machine leaves that setting out, a folder of our own is set for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="faultlens-", dir="/tmp")
+        base = _FOLDERS[spark.sparkContext.applicationId] = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,8 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultlens.functions import fixed_values as fv
 from faultlens.operators.embedding import hashed_vectors
+from faultlens.operators.history import hourly_records, new_in_hours
 from faultlens.operators.hybrid import hybrid_search
 from faultlens.operators.preprocess import preprocess, with_keywords
+from faultlens.sources.stage import stage
+
+_LAST_SEEN = "log_hash string, last_ts timestamp"
 
 
 def arriving(spark: SparkSession, path: str, schema, **options: str) -> DataFrame:
@@ -21,12 +25,30 @@ def stream_preprocess(logs: DataFrame, text: str = "content", max_tokens: int =
     return preprocess(logs, text, max_tokens)
 
 
-def stream_dedup(logs: DataFrame, hours: int = 24) -> DataFrame:
-    """Arriving logs(log_hash, ts, ...) without those whose hash came within the hours before.
+def stream_dedup(logs: DataFrame, path: str, checkpoint: str, state: str, hours: int = 24) -> StreamingQuery:
+    """Writes arriving logs(log_hash, ts, log_id) that did not come within the hours before: (log_hash, ts, log_id).
 
-    The state holds one entry per hash until the watermark has passed it by ``hours``.
+    Each micro-batch is reduced to a record per hash and hour, compared with the last time its hash was seen, and
+    writes its new logs below ``path`` and the last times below ``state``, both under its batch id: a batch that is
+    repeated after a failure overwrites what it wrote. Nothing is dropped for being late: a log that
+    arrives after a later one of its hash is new if it is more than ``hours`` older.
     """
-    return logs.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["log_hash"])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        hourly = hourly_records(batch)
+        if batch_id > 0:
+            before = spark.read.schema(_LAST_SEEN).parquet(f"{state}/batch_id={batch_id - 1}")
+            hourly = hourly.unionByName(before, allowMissingColumns=True)
+        hourly = stage(hourly, "stream-hours")
+        new_in_hours(hourly, hours).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        last = hourly.groupBy("log_hash").agg(F.max("last_ts").alias("last_ts"))
+        last.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    return (
+        logs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -34,17 +34,36 @@ def test_dedup_stream_replayed_by_day(spark, tmp_path):
             rows += [("rare", at + dt.timedelta(hours=1), day * 10 + 2), ("rare", at + dt.timedelta(hours=2), day * 10 + 3)]
         days.append(rows)
     schema = "log_hash string, ts timestamp, log_id long"
-    out, state, source = (str(tmp_path / n) for n in ("out", "state", "in"))
+    out, state, seen, source = (str(tmp_path / n) for n in ("out", "state", "seen", "in"))
     for rows in days:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = st.stream_dedup(st.arriving(spark, source, schema))
-        st.write_stream(stream, out, state).awaitTermination()
+        st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
     found = spark.read.parquet(out)
     batch = first_per_day(spark.createDataFrame([r for rows in days for r in rows], schema))
     # a log that comes back after more than a day is new again, in the stream as in the batch
     assert found.filter("log_hash = 'rare'").count() == batch.filter("log_hash = 'rare'").count() == 3
     # repeats within the day never come out
     assert found.groupBy("log_hash", F.to_date("ts")).count().filter("count > 1").count() == 0
+    columns = ["log_hash", "ts", "log_id"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+
+
+def test_dedup_stream_keeps_weeks_in_one_batch_and_repeats_safely(spark, tmp_path):
+    start, schema = dt.datetime(2024, 1, 1), "log_hash string, ts timestamp, log_id long"
+    rows = [("a", start + dt.timedelta(days=d), d) for d in (0, 2, 14, 30)] + [("a", start + dt.timedelta(days=30, hours=3), 99)]
+    out, state, seen, source = (str(tmp_path / n) for n in ("out", "state", "seen", "in"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    for _ in range(2):  # a second start finds nothing new
+        st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
+    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == [0, 2, 14, 30]
+    late = [("a", start + dt.timedelta(days=7), 7), ("a", start + dt.timedelta(days=30, hours=1), 98)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
+    # once more the last batch, as after a failure before its commit
+    for commit in (tmp_path / "state" / "commits").glob("*1*"):
+        commit.unlink()
+    st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
+    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == [0, 2, 7, 14, 30]
 
 
 def test_retrieve_stream_equals_batch_and_repeats_safely(spark, tmp_path):
