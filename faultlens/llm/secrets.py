@@ -68,7 +68,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """(label, pair, n) over strings(label, s): characters and what follows them."""
-    each = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
+    chars, n = F.split("s", ""), F.length("s") - 1
+    each = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
     return strings.filter("length(s) > 1").select("label", F.explode(each).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
@@ -112,10 +113,14 @@ def train(samples: DataFrame) -> list[float] | None:
 def log_ratio(s: Column, ratio: list[float]) -> Column:
     """Sum of the pair ratios along the string."""
     size, cells = len(ALPHABET) + 1, F.expr("array(" + ",".join(f"{x!r}D" for x in ratio) + ")")
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(cells, at(i) * size + at(i + 1))
-    )
+    start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, char: Column) -> Column:
+        at = F.instr(F.lit(ALPHABET), char)
+        return F.struct(at.alias("before"), (state["sum"] + F.get(cells, state["before"] * size + at)).alias("sum"))
+
+    # cells of row 0 (no character before) are 0
+    return F.aggregate(F.split(s, ""), start, step, lambda state: state["sum"])
 
 
 def scan(docs: DataFrame, margin: float = MARGIN, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
