@@ -165,6 +165,8 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, n_tokens: int, n_types: int) -
     parts = np.stack([
         np.full(len(cells), 1.0 / (n_types + 1)), value(cells % _SPAN) / max(1, n_tokens), value(cells // _SPAN % _SPAN)
     ], axis=1)
+    if not len(cells):  # nothing to learn from: the uniform estimate alone
+        return np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
     weights = np.tile([0.1, 0.5, 0.4], (BUCKETS, 1))
     for _ in range(EM_ROUNDS):
         share = weights[bucket] * parts

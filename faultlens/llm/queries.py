@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultlens.llm import decontam, egojoin, langid, lm, minhash, mixing, oracle, quality, secrets, sharding, substring
 from faultlens.llm.tables import table
 
-SHARDS = [f"shard-{i:03d}" for i in range(64)]
+SHARDS = oracle.SHARDS
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
