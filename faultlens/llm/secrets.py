@@ -18,11 +18,13 @@ HEX = "[0-9a-f]{24,}"
 MIN_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = "[A-Za-z0-9_+/=-]{20,}"  # what the models look at
+RUN_LENGTH = 20
+RUN = f"[A-Za-z0-9_+/=-]{{{RUN_LENGTH},}}"  # what the models look at
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
 SAMPLE_DOCS = 2000
 MARGIN = 12.0  # log-likelihood ratio (nats) from which a run counts as random
 SMOOTHING = 0.5
+BACKOFF = 5.0  # weight, in pairs, of the distribution that unseen pairs fall back on
 UNIFORM = 0.5  # share of the uniform distribution in the model of random strings
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 
@@ -75,7 +77,8 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 def labelled_samples(docs: DataFrame, spans: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(label, s). 1: all strings that the base patterns caught (assigned values only where they mix in digits);
-    0: words of at most ``sample_docs`` documents, those of smallest id hash, without what the patterns catch."""
+    0: words of at most ``sample_docs`` documents, those of smallest id hash, without what the patterns catch and
+    without runs as long as those that the models are asked about."""
     value = F.transform("assign", lambda m: F.regexp_extract(m["s"], ASSIGN, 2))
     mixed = F.filter(value, lambda s: (F.length(s) >= 16) & F.rlike(s, F.lit("[0-9]")) & F.rlike(s, F.lit("[A-Za-z]")))
     caught = F.concat(mixed, F.col("access.s"), F.col("hex.s"))
@@ -85,7 +88,7 @@ def labelled_samples(docs: DataFrame, spans: DataFrame, sample_docs: int = SAMPL
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
     plain = some.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_+/=-]{3,}"), F.lit(0))).alias("s"))
-    return secrets.unionByName(plain)
+    return secrets.unionByName(plain.filter(F.length("s") < RUN_LENGTH))
 
 
 def train(samples: DataFrame) -> list[float] | None:
@@ -101,11 +104,14 @@ def train(samples: DataFrame) -> list[float] | None:
         counts[label][a * size + b] += n
     if not all(map(sum, counts)):
         return None
+    # pairs that were not seen fall back on how frequent the second character is
+    single = [[sum(c[b::size]) + SMOOTHING for b in range(size)] for c in counts]
+    single = [[x / sum(s[1:]) for x in s] for s in single]
     ratio = [0.0] * (size * size)
     for a in range(1, size):
-        total = [sum(c[a * size + 1:(a + 1) * size]) + SMOOTHING * (size - 1) for c in counts]
+        total = [sum(c[a * size + 1:(a + 1) * size]) + BACKOFF for c in counts]
         for b in range(1, size):
-            ordinary, random = ((c[a * size + b] + SMOOTHING) / t for c, t in zip(counts, total))
+            ordinary, random = ((c[a * size + b] + BACKOFF * s[b]) / t for c, s, t in zip(counts, single, total))
             ratio[a * size + b] = math.log((1 - UNIFORM) * random + UNIFORM / (size - 1)) - math.log(ordinary)
     return ratio
 
