@@ -318,7 +318,8 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
                     [batch.column("doc").slice(start, end - start).filter(kept), pa.array(sets, pa.binary()).filter(kept)], names=["doc", "shingles"]
                 )
 
-    sets = stage(texts.join(wanted, "doc").mapInArrow(pack, "doc long, shingles binary"), "sets")
+    # by a merge join at every size: the ids grow with the documents, so they are no side to broadcast
+    sets = stage(texts.join(wanted.hint("merge"), "doc").mapInArrow(pack, "doc long, shingles binary"), "sets")
 
     first = stage(_confirm(likeliest, sets, percent), "links")
     joined = components(first).select(F.col("node").alias("doc"), "component")
