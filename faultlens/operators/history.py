@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.text import clip_chars
 from faultlens.operators.knowledge import page_of
+from faultlens.sources.stage import stage
 
 
 def history_rows(diagnoses: DataFrame, session_id: Column | None = None, now: Column | None = None) -> DataFrame:
@@ -39,12 +40,13 @@ def hash_lookup(logs: DataFrame, history: DataFrame) -> DataFrame:
     """Logs with the id and result of the first earlier diagnosis of the same text (null if new).
 
     logs(original_hash, ...), history(id, log_hash, diagnosis_result). The history is reduced to one row per
-    hash before the join, with map-side aggregation.
+    hash with map-side aggregation and written, so that both join sides are plain exchanges and a hash that very
+    many logs share is split.
     """
     first = history.groupBy(F.col("log_hash").alias("original_hash")).agg(
         F.min("id").alias("history_id"), F.min_by("diagnosis_result", "id").alias("cached_result")
     )
-    return logs.join(first, "original_hash", "left")
+    return logs.join(stage(first, "first-diagnoses"), "original_hash", "left")
 
 
 def new_logs(logs: DataFrame, history: DataFrame) -> DataFrame:
