@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from faultlens.llm.components import components
+from faultlens.llm.pruning import perhaps_among
 from faultlens.llm.textops import blobs, hashed, mix, rolling, slices
 from faultlens.sources.stage import stage
 
@@ -227,8 +228,8 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    left = perhaps_among(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a", pairs.select("a"))
+    right = perhaps_among(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b", pairs.select("b"))
 
     def check(batches):
         for batch in batches:
@@ -294,10 +295,11 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
 
     close = F.least("n", "size") * 100 >= F.greatest("n", "size") * percent
     beside = members.filter(F.col("before").isNotNull() & close)
-    beside = beside.select(F.col("doc").alias("a"), F.col("before").alias("b"), "n", F.col("size").alias("m")).distinct()
+    beside = stage(beside.select(F.col("doc").alias("a"), F.col("before").alias("b"), "n", F.col("size").alias("m")).distinct(), "beside")
     sketches = reps.select("doc", "sketch")
     rated = (
-        beside.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+        beside.join(perhaps_among(sketches.toDF("a", "x"), "a", beside.select("a")), "a")
+        .join(perhaps_among(sketches.toDF("b", "y"), "b", beside.select("b")), "b")
         .mapInArrow(lambda batches: _rate(batches, percent), "a long, b long, alike double")
     )
     # a document has a neighbour per order at most, so these windows are small
@@ -319,7 +321,8 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
                 )
 
     # by a merge join at every size: the ids grow with the documents, so they are no side to broadcast
-    sets = stage(texts.join(wanted.hint("merge"), "doc").mapInArrow(pack, "doc long, shingles binary"), "sets")
+    asked = perhaps_among(texts, "doc", wanted.select("doc"))
+    sets = stage(asked.join(wanted.hint("merge"), "doc").mapInArrow(pack, "doc long, shingles binary"), "sets")
 
     first = stage(_confirm(likeliest, sets, percent), "links")
     joined = components(first).select(F.col("node").alias("doc"), "component")
@@ -327,7 +330,8 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
     placed = stage(placed, "placed")
     mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = stage(mixed.filter("low < high").select("region"), "mixed")
-    placed = stage(placed.join(mixed, "region").join(sketches, "doc"), "placed-mixed")
+    placed = stage(placed.join(mixed, "region"), "placed-mixed")
+    placed = placed.join(perhaps_among(sketches, "doc", placed.select("doc")), "doc")
     ordered = placed.repartitionByRange(parts, "region", "doc").sortWithinPartitions("region", "doc")
     found = ordered.mapInArrow(lambda b: _compare(b, percent), "a long, b long, block long, region long, rows binary")
     found = stage(found, "compared")
@@ -335,7 +339,7 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
     others = blocks.select("region", F.col("block").alias("other"), F.col("rows").alias("others"))
     met = blocks.join(others, "region").filter("block < other").select("region", "rows", "others")
     met = met.mapInArrow(lambda b: _meet(b, percent), "a long, b long")
-    across = found.filter("a IS NOT NULL").select("a", "b").unionByName(met).distinct()
+    across = stage(found.filter("a IS NOT NULL").select("a", "b").unionByName(met).distinct(), "across")
     rest = stage(_confirm(across, sets, percent), "links-across")
     return first.unionByName(rest)
 
