@@ -9,6 +9,7 @@ import pytest
 
 from faultlens.llm import decontam, egojoin, langid, lm, minhash, mixing, quality, secrets, sharding, substring
 from faultlens.llm.components import components
+from faultlens.llm.pruning import perhaps_among
 from faultlens.llm.textops import hashed, rolling
 
 SF = "/root/testdata/sf0.01"
@@ -225,3 +226,12 @@ def test_held_out_accuracy(spark):
     assert (langs["lang"] == langs["lang_pred"]).mean() > 0.97
     good = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert (good["predicted"] == good["quality"]).mean() > 0.95
+
+
+def test_pruning_loses_no_row_that_is_asked_for(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id AS doc", "'x' AS text").unionByName(spark.sql("SELECT CAST(NULL AS long) AS doc, 'x' AS text"))
+    wanted = spark.sql("SELECT explode(array(-3000L, -1L, 0L, 0L, 7L, 2999L, CAST(NULL AS long), 10000L)) AS doc")
+    kept = perhaps_among(rows, "doc", wanted)
+    got = [r.doc for r in kept.collect()]
+    assert kept.columns == ["doc", "text"] and {-3000, -1, 0, 7, 2999} <= set(got) and len(got) == len(set(got)) < 20
+    assert perhaps_among(rows, "doc", wanted.limit(0)).count() == 0
