@@ -17,8 +17,8 @@ from faultlens.operators.hybrid import hybrid_search, retrieved_ids
 from faultlens.operators.inference import model_answers, recorded_answers
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot
 from faultlens.plans.catalog import sql as s
-from faultlens.plans.catalog.knowledge import NOW, _now, _table, _state
-from faultlens.plans.catalog.searching import prepared
+from faultlens.plans.catalog.knowledge import NOW, _now, _embedded, _table, _state
+from faultlens.plans.catalog.searching import kb_embedded, prepared, vectors_with_failures
 from faultlens.plans.diagnose import bad_answers, build_prompts, diagnose_batch, prepare_logs
 from faultlens.sources import views
 from faultlens.sources.stage import stage
@@ -33,7 +33,7 @@ def parse_answer(spark, d):
 def answer_fields(spark, d):
     read = an.answer_fields(an.parse_answers(views.answers(spark, d)))
     return read.select(
-        "conv_id", "turn", "root_cause", F.when(F.col("parse_kind") == "failed", "").otherwise(F.col("analysis_process")).alias("analysis"),
+        "conv_id", "turn", "root_cause", F.col("analysis_process").alias("analysis"),
         F.array_join("solution_steps", "|").alias("steps"), F.round("confidence", 6).alias("confidence"),
     )
 
@@ -51,13 +51,13 @@ def strategies(spark, d):
 
 def miss_to_cot_query(spark, d):
     logs = prepared(spark, d)
-    hits = hybrid_search(logs.filter("use_rag"), views.kb_text(spark, d), embed=None)
+    hits = hybrid_search(logs.filter("use_rag"), kb_embedded(spark, d), embed=vectors_with_failures)
     counted = logs.join(retrieved_ids(hits), "query_id", "left").withColumn("strategy", pick_strategy(F.col("strategy")))
     return miss_to_cot(counted).select("query_id", "use_rag", "rag_missed", "strategy")
 
 
 def assemble_prompt_query(spark, d):
-    prompts = build_prompts(prepared(spark, d), views.kb_text(spark, d), embed=None)
+    prompts = build_prompts(prepared(spark, d), kb_embedded(spark, d), embed=vectors_with_failures)
     return prompts.select("query_id", "strategy", "n_hits", F.md5("user_prompt").alias("prompt_md5"), "system_prompt", "expected_format")
 
 
@@ -84,29 +84,36 @@ def llm_answers(spark, d):
     return done.select("query_id", "raw_content", "error", "model_used", "total_tokens")
 
 
-def _first_answers(spark, d):
-    return views.answers(spark, d).groupBy("conv_id").agg(F.min_by("raw_content", "turn").alias("raw_content"))
+def _turns(spark, d):
+    """The assistant turns of a conversation, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "raw_content")))
+    return views.answers(spark, d).groupBy("conv_id").agg(ordered["raw_content"].alias("turns"))
+
+
+def _turn(number):
+    """The turn that answers the prompt of this number: all turns take their part."""
+    return F.get("turns", F.pmod(number, F.size("turns")).cast("int"))
 
 
 def recorded_answers_query(spark, d):
     """Answers recorded under the hash of their prompt, then found again."""
     prompts = _direct_prompts(spark, d).select("query_id", "system_prompt", "user_prompt")
-    record = prompts.withColumn("conv_id", whole_div(F.col("query_id"), 4)).join(_first_answers(spark, d), "conv_id")
+    record = prompts.withColumn("conv_id", whole_div(F.col("query_id"), 4)).join(_turns(spark, d), "conv_id")
     record = record.select(
-        F.sha2("user_prompt", 256).alias("prompt_hash"), "raw_content",
+        F.sha2("user_prompt", 256).alias("prompt_hash"), _turn(F.col("query_id")).alias("raw_content"),
         token_estimate(F.col("user_prompt")).alias("total_tokens"), (F.col("conv_id") + 1000).alias("latency_ms"),
     ).dropDuplicates(["prompt_hash"])
     done = recorded_answers(prompts, record, ["query_id"])
     return done.select("query_id", F.md5("raw_content").alias("raw_md5"), "error", "total_tokens", "latency_ms")
 
 
-def _answerer(spark, d, key, conv_id):
-    """Recorded conversations as the model: the prompt's conversation number picks the answer."""
-    firsts = _first_answers(spark, d)
+def _answerer(spark, d, key, conv_id, number):
+    """Recorded conversations as the model: the prompt's conversation and number pick the answer."""
+    turns = _turns(spark, d)
 
     def answer(prompts):
-        asked = prompts.select(*key, token_estimate(F.col("user_prompt")).alias("n_tokens"), conv_id().alias("conv_id"))
-        found = asked.join(firsts, "conv_id", "left")
+        asked = prompts.select(*key, token_estimate(F.col("user_prompt")).alias("n_tokens"), conv_id().alias("conv_id"), number().alias("number"))
+        found = asked.join(turns, "conv_id", "left").withColumn("raw_content", _turn(F.col("number")))
         missing = F.col("raw_content").isNull()
         return found.select(
             *key, "raw_content", F.when(missing, "no answer").alias("error"), F.lit(fv.MODEL_NAME).alias("model_used"),
@@ -126,14 +133,14 @@ def _diagnosed(spark, d):
             F.array(F.lit("restart")).alias("solution_steps"), F.lit(0.25).alias("confidence"),
         ).alias("diagnosis_result"),
     )
-    answer = _answerer(spark, d, ["query_id"], lambda: whole_div(F.col("query_id"), 4))
-    return diagnose_batch(logs, views.kb_text(spark, d), earlier, answer, embed=None)
+    answer = _answerer(spark, d, ["query_id"], lambda: whole_div(F.col("query_id"), 4), lambda: F.col("query_id"))
+    return diagnose_batch(logs, kb_embedded(spark, d), earlier, answer, embed=vectors_with_failures)
 
 
 def diagnose_batch_query(spark, d):
     return _diagnosed(spark, d).select(
         "query_id", "original_hash", "status", "strategy", "rag_missed", "n_hits", "retrieved_doc_ids", "root_cause",
-        F.when(F.col("parse_kind") == "failed", "").otherwise(F.md5("analysis_process")).alias("analysis_md5"),
+        F.md5("analysis_process").alias("analysis_md5"),
         F.array_join("solution_steps", "|").alias("steps"), F.round("confidence", 6).alias("confidence"),
         "error", "total_tokens", "latency_ms", "history_id",
     )
@@ -169,7 +176,7 @@ _TEXT_ONLY = [s.LOGS, s.KB, s.prepared(), "meta AS (SELECT log_id, strategy, use
 _RAG = [
     *_TEXT_ONLY,
     "rag AS (SELECT * FROM prep WHERE log_id IN (SELECT log_id FROM meta WHERE use_rag))",
-    s.hits(vectors=False, logs="rag"), s.FUSED, s.ranked(), s.PACKED,
+    s.hits(logs="rag", embedded=s.EMBEDDED), s.FUSED, s.ranked(), s.PACKED,
     f"""
 chosen AS (
   SELECT p.*, m.use_rag, m.ts, coalesce(k.n_hits, 0) AS n_hits, k.retrieved_doc_ids, k.block,
@@ -181,21 +188,28 @@ chosen AS (
 _DIRECT = [*_TEXT_ONLY, f"""
 prompts AS (SELECT log_id, {s.prompt('strategy', 'short', 'NULL')} AS user_prompt FROM (
   SELECT p.log_id, p.short, {s.strategy('m.strategy')} AS strategy FROM prep p JOIN meta m ON m.log_id = p.log_id))"""]
-_FIRSTS = s.ANSWERS + ",\nfirsts AS (SELECT conv_id, arg_min(raw_content, turn) AS raw_content FROM answers GROUP BY conv_id)"
+_TURNS = s.ANSWERS + ",\nturns AS (SELECT conv_id, list(raw_content ORDER BY turn) AS turns FROM answers GROUP BY conv_id)"
+
+
+def _turn_sql(number):
+    return f"turns[1 + {number} % len(turns)]"
+
+
+
 _DIAGNOSED = [
-    *_RAG, _FIRSTS, """
+    *_RAG, _TURNS, """
 asked AS (
-  SELECT p.*, log_id // 4 + 1000 AS latency_ms, f.raw_content,
-    CASE WHEN f.raw_content IS NULL THEN 0 ELSE strlen(user_prompt) // 3 END AS total_tokens,
-    CASE WHEN f.raw_content IS NULL THEN 'no answer' END AS error
-  FROM prompts p LEFT JOIN firsts f ON f.conv_id = p.log_id // 4 WHERE ts >= TIMESTAMP '""" + FIRST_WEEK_END + "')",
+  SELECT p.*, log_id // 4 + 1000 AS latency_ms, """ + _turn_sql("log_id") + """ AS raw_content,
+    CASE WHEN turns IS NULL THEN 0 ELSE strlen(user_prompt) // 3 END AS total_tokens,
+    CASE WHEN turns IS NULL THEN 'no answer' END AS error
+  FROM prompts p LEFT JOIN turns f ON f.conv_id = p.log_id // 4 WHERE ts >= TIMESTAMP '""" + FIRST_WEEK_END + "')",
     s.parsed("asked", "raw_content"),
     "done AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN root_cause = '' THEN 'bad' ELSE 'ok' END AS status FROM read)",
 ]
 ORACLE = {
     "parse_answer": _W(s.ANSWERS, s.parsed("answers", "raw_content")) + "SELECT conv_id, turn, parse_kind FROM read",
     "answer_fields": _W(s.ANSWERS, s.parsed("answers", "raw_content")) + """SELECT conv_id, turn, root_cause,
-  CASE WHEN parse_kind = 'failed' THEN '' ELSE analysis_process END AS analysis,
+  analysis_process AS analysis,
   array_to_string(solution_steps, '|') AS steps, round(confidence, 6) AS confidence FROM read""",
     "bad_answers": _W(s.ANSWERS, s.parsed("answers", "raw_content"))
     + f"SELECT conv_id, turn, raw_content, {_KEYS} AS parsed_keys FROM read WHERE root_cause = ''",
@@ -210,7 +224,7 @@ ORACLE = {
     "diagnose_batch": _W(*_DIAGNOSED) + f"""SELECT log_id AS query_id, original_hash, status, strategy, rag_missed,
   CAST(n_hits AS INT) AS n_hits, retrieved_doc_ids,
   CASE WHEN raw_content IS NULL THEN '' ELSE root_cause END AS root_cause,
-  CASE WHEN parse_kind = 'failed' THEN '' ELSE md5(analysis_process) END AS analysis_md5,
+  md5(analysis_process) AS analysis_md5,
   array_to_string(solution_steps, '|') AS steps, round(confidence, 6) AS confidence, error,
   CAST(total_tokens AS INT) AS total_tokens, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(NULL AS BIGINT) AS history_id
 FROM done
@@ -226,11 +240,11 @@ learned AS (
   FROM done WHERE status = 'ok' AND rag_missed AND parse_kind <> 'failed'),
 numbered AS (
   SELECT *, (SELECT max(id) FROM kb) + row_number() OVER (
-    ORDER BY md5(concat_ws(chr(1), title, content, category, keywords, symptoms))) AS id FROM learned)""")
-    + _state("kb_state") + " UNION ALL " + _state("numbered", "true", f"'{NOW}'"),
-    "recorded_answers": _W(*_DIRECT, _FIRSTS) + """SELECT log_id AS query_id, md5(raw_content) AS raw_md5,
-  CASE WHEN raw_content IS NULL THEN 'no recorded answer' END AS error,
-  CAST(CASE WHEN raw_content IS NULL THEN 0 ELSE strlen(user_prompt) // 3 END AS INT) AS total_tokens,
-  CAST(CASE WHEN raw_content IS NULL THEN 0 ELSE log_id // 4 + 1000 END AS BIGINT) AS latency_ms
-FROM prompts p LEFT JOIN firsts f ON f.conv_id = p.log_id // 4""",
+    ORDER BY md5(concat_ws(chr(1), title, content, category, keywords, symptoms))) AS id FROM learned)""", _embedded("numbered"))
+    + _state("kb_state") + " UNION ALL " + _state("fresh", f"'{NOW}'"),
+    "recorded_answers": _W(*_DIRECT, _TURNS) + "SELECT log_id AS query_id, md5(" + _turn_sql("log_id") + """) AS raw_md5,
+  CASE WHEN turns IS NULL THEN 'no recorded answer' END AS error,
+  CAST(CASE WHEN turns IS NULL THEN 0 ELSE strlen(user_prompt) // 3 END AS INT) AS total_tokens,
+  CAST(CASE WHEN turns IS NULL THEN 0 ELSE log_id // 4 + 1000 END AS BIGINT) AS latency_ms
+FROM prompts p LEFT JOIN turns f ON f.conv_id = p.log_id // 4""",
 }

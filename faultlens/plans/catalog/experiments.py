@@ -9,8 +9,8 @@ from faultlens.functions.text import whole_div
 from faultlens.operators import evaluation as ev
 from faultlens.operators.hybrid import hybrid_search
 from faultlens.plans.catalog import sql as s
-from faultlens.plans.catalog.answering import _FIRSTS, _answerer
-from faultlens.plans.catalog.searching import kb_embedded, prepared
+from faultlens.plans.catalog.answering import _TURNS, _answerer, _turn_sql
+from faultlens.plans.catalog.searching import kb_embedded, prepared, vectors_with_failures
 from faultlens.plans.experiment import KEY, run_experiment
 from faultlens.session import work_path
 from faultlens.sources import files, views
@@ -110,8 +110,8 @@ def run_status(spark, d):
 
 def _case_hits(spark, d):
     logs = prepared(spark, d)
-    kb = views.kb_text(spark, d)
-    hits = hybrid_search(logs, kb, embed=None)
+    kb = kb_embedded(spark, d)
+    hits = hybrid_search(logs, kb, embed=vectors_with_failures)
     return ev.case_hits(logs.select(F.col("query_id").alias("case_id")), hits, kb)
 
 
@@ -133,7 +133,7 @@ def _grid(spark, d):
     number = F.substring("case_id", 6, 12).cast("long")
     shift = F.when(F.col("strategy") == "ZERO_SHOT", 0).when(F.col("strategy") == "FEW_SHOT", 7).otherwise(14)
     shift = shift + F.when(F.col("mode") == "RAG", 0).otherwise(3)
-    answer = _answerer(spark, d, KEY, lambda: whole_div(number, 4) + shift)
+    answer = _answerer(spark, d, KEY, lambda: whole_div(number, 4) + shift, lambda: number)
     return stage(run_experiment(views.cases(spark, d), kb_embedded(spark, d), answer), "grid")
 
 
@@ -200,13 +200,13 @@ FROM (
 _CSV = ", ".join(
     f"format('{{:.4f}}', {c}) AS {c}" if c == "confidence" else f"CAST({c} AS VARCHAR) AS {c}" for c in fv.RESULT_CSV_COLUMNS
 )
-_TEXT_HITS = [s.LOGS, s.KB, s.prepared(), s.hits(vectors=False), s.FUSED, s.ranked(), """
+_CASE_HITS = [s.LOGS, s.KB, s.prepared(), s.hits(embedded=s.EMBEDDED), s.FUSED, s.ranked(), """
 case_hits AS (
   SELECT p.log_id AS case_id, coalesce(n, 0) AS n_hits, top_title
   FROM prep p LEFT JOIN (
     SELECT qid, count(*) AS n, arg_min(title, hit_rank) AS top_title FROM final JOIN kb ON kb.id = final.id GROUP BY qid) t
     ON t.qid = p.log_id)"""]
-_GRID = [s.CASES, s.KB, s.prepared("cases", "id", "log"), s.hits(key="id"), s.FUSED, s.ranked(), s.PACKED, _FIRSTS, f"""
+_GRID = [s.CASES, s.KB, s.prepared("cases", "id", "log"), s.hits(key="id"), s.FUSED, s.ranked(), s.PACKED, _TURNS, f"""
 grid AS (
   SELECT c.*, p.short, st.strategy, mo.mode, CASE WHEN mode = 'RAG' THEN coalesce(k.n_hits, 0) ELSE 0 END AS knowledge_used,
     CASE WHEN mode = 'RAG' THEN k.block END AS block,
@@ -215,8 +215,8 @@ grid AS (
   FROM cases c JOIN prep p ON p.id = c.id LEFT JOIN packed k ON k.qid = c.id
   CROSS JOIN (SELECT unnest({s.arr(fv.STRATEGIES)}) AS strategy) st CROSS JOIN (SELECT unnest({s.arr(fv.MODES)}) AS mode) mo),
 asked AS (
-  SELECT g.*, f.raw_content, strlen({s.prompt('g.strategy', 'g.short', 'g.block')}) // 3 AS n_tokens
-  FROM grid g LEFT JOIN firsts f ON f.conv_id = g.conv)""", s.parsed("asked", "raw_content"), r"""
+  SELECT g.*, {_turn_sql('log_id')} AS raw_content, strlen({s.prompt('g.strategy', 'g.short', 'g.block')}) // 3 AS n_tokens
+  FROM grid g LEFT JOIN turns f ON f.conv_id = g.conv)""", s.parsed("asked", "raw_content"), r"""
 judged AS (
   SELECT *, raw_content IS NOT NULL AS answered,
     len(list_filter(expected_keywords, lambda w: contains(lower(root_cause), lower(w)))) >= len(expected_keywords) // 2
@@ -265,10 +265,10 @@ per AS (SELECT strategy, {dict(s.figures())['accuracy']} AS acc FROM results WHE
   coalesce((SELECT round(max(acc), 6) FROM per WHERE strategy <> 'OTHER'), 0.0) AS best_accuracy""",
     "run_status": _W(s.RESULTS) + """SELECT CASE WHEN error <> '' THEN 'err' WHEN NOT is_correct THEN 'fail' ELSE 'ok' END AS status,
   count(*) AS n_runs FROM results GROUP BY 1""",
-    "hit_rate_cases": _W(*_TEXT_HITS) + "SELECT case_id, n_hits, top_title FROM case_hits",
-    "hit_rate": _W(*_TEXT_HITS) + """SELECT count(*) AS n_cases, count(*) FILTER (n_hits > 0) AS n_hit,
+    "hit_rate_cases": _W(*_CASE_HITS) + "SELECT case_id, n_hits, top_title FROM case_hits",
+    "hit_rate": _W(*_CASE_HITS) + """SELECT count(*) AS n_cases, count(*) FILTER (n_hits > 0) AS n_hit,
   round(count(*) FILTER (n_hits > 0)::DOUBLE / count(*) * 100, 6) AS hit_rate FROM case_hits""",
-    "hit_rate_grade": _W(*_TEXT_HITS) + """SELECT case_group, round(rate, 6) AS hit_rate,
+    "hit_rate_grade": _W(*_CASE_HITS) + """SELECT case_group, round(rate, 6) AS hit_rate,
   CASE WHEN rate >= 80 THEN 'good' WHEN rate >= 50 THEN 'low' ELSE 'bad' END AS grade
 FROM (SELECT case_id % 10 AS case_group, count(*) FILTER (n_hits > 0)::DOUBLE / count(*) * 100 AS rate FROM case_hits GROUP BY 1)""",
     "run_experiment": _W(*_GRID) + "SELECT * FROM results",

@@ -25,11 +25,16 @@ def _kb(spark, d):
     return views.kb_text(spark, d)
 
 
+def micros(vector):
+    """Comparable form of a vector."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
+
+
 def _table(df):
     """Comparable form of a knowledge table state."""
     return df.select(
         "id", "title", F.md5("content").alias("content_md5"), "category", "keywords", "symptoms",
-        F.col("embedding").isNotNull().alias("has_embedding"),
+        F.md5(micros(F.col("embedding"))).alias("embedding_md5"),
         F.col("updated_at").cast("string").alias("updated"),
     )
 
@@ -284,9 +289,24 @@ changes AS (
 _OLD = "'2024-01-01 00:00:00'"
 
 
-def _state(source: str, embedded: str = "embedding IS NOT NULL", updated: str = _OLD) -> str:
+def _state(source: str, updated: str = _OLD) -> str:
     return (f"SELECT id, title, md5(content) AS content_md5, category, keywords, symptoms, "
-            f"{embedded} AS has_embedding, {updated} AS updated FROM {source}")
+            f"md5({s.micros('embedding')}) AS embedding_md5, {updated} AS updated FROM {source}")
+
+
+def _embedded(source: str, out: str = "fresh") -> str:
+    """CTE ``out``: the rows of a relation without vectors, with the hashed one."""
+    return f"""
+{out}_text AS (SELECT id, title || chr(10) || content AS txt FROM {source}),
+{s.hashed(f'{out}_text', 'id', 'txt', f'{out}_vec').strip()},
+{out} AS (SELECT s.*, v.embedding FROM {source} s LEFT JOIN {out}_vec v ON v.id = s.id)"""
+
+
+def _filled(source: str) -> str:
+    """CTE ``filled``: a relation whose missing vectors are filled in."""
+    return f"""
+todo AS (SELECT * EXCLUDE (embedding) FROM {source} WHERE embedding IS NULL),{_embedded('todo', 'done')},
+filled AS (SELECT * FROM {source} WHERE embedding IS NOT NULL UNION ALL BY NAME SELECT * FROM done)"""
 
 
 def _numbered(source: str) -> str:
@@ -312,25 +332,25 @@ UNION ALL SELECT 'total', count(*) FROM found""",
     "kb_count": "SELECT count(*) AS n_articles FROM documents",
     "kb_valid_rows": _W(_SUBMITTED) + "SELECT title, content, keywords, title <> '' AND coalesce(content, '') <> '' AS accepted FROM submitted",
     "kb_insert": _W(s.KB_STATE, _SUBMITTED,
-                    "good AS (SELECT * FROM submitted WHERE title <> '' AND content <> '')", _numbered("good"))
-    + _state("kb_state") + " UNION ALL " + _state("numbered", f"len({s.tok('content')}) > 0", f"'{NOW}'"),
-    "kb_update": _W(s.KB_STATE, _CHANGES, """
+                    "good AS (SELECT * FROM submitted WHERE title <> '' AND content <> '')", _numbered("good"), _embedded("numbered"))
+    + _state("kb_state") + " UNION ALL " + _state("fresh", f"'{NOW}'"),
+    "kb_update": _W(s.KB_STATE, _CHANGES, _embedded("changes"), """
 j AS (SELECT k.id, coalesce(c.title, k.title) AS title, coalesce(c.content, k.content) AS content,
   coalesce(c.category, k.category) AS category, coalesce(c.keywords, k.keywords) AS keywords,
-  coalesce(c.symptoms, k.symptoms) AS symptoms, c.id IS NOT NULL AS hit, k.embedding IS NOT NULL AS old
-  FROM kb_state k LEFT JOIN changes c ON c.id = k.id)""")
-    + _state("j", "(hit OR old)", f"CASE WHEN hit THEN '{NOW}' ELSE {_OLD} END"),
+  coalesce(c.symptoms, k.symptoms) AS symptoms, c.id IS NOT NULL AS hit,
+  coalesce(c.embedding, k.embedding) AS embedding FROM kb_state k LEFT JOIN fresh c ON c.id = k.id)""")
+    + _state("j", f"CASE WHEN hit THEN '{NOW}' ELSE {_OLD} END"),
     "kb_update_rejects": _W(s.KB, _CHANGES) + "SELECT id, title FROM changes WHERE id NOT IN (SELECT id FROM kb)",
     "kb_delete": _W(s.KB_STATE, _CHANGES) + _state("kb_state") + " WHERE id NOT IN (SELECT id FROM changes)",
-    "kb_backfill": _W(s.KB_STATE) + _state("kb_state", f"(embedding IS NOT NULL OR len({s.tok('content')}) > 0)"),
+    "kb_backfill": _W(s.KB_STATE, _filled("kb_state")) + _state("filled"),
     "embed_report": _W(s.KB_STATE) + f"""SELECT count(*) FILTER (len({s.tok('content')}) > 0) AS success,
   count(*) FILTER (len({s.tok('content')}) = 0) AS failed FROM kb_state WHERE embedding IS NULL""",
     "kb_seed": _W(s.KB_STATE, s.CASES, f"""
-fresh AS (SELECT DISTINCT {s.seed_title('category', 'expected_root_cause')} AS title,
+seeds AS (SELECT DISTINCT {s.seed_title('category', 'expected_root_cause')} AS title,
   {s.seeded('category', 'expected_root_cause', 'expected_keywords', 'log')} AS content, category,
   array_to_string(expected_keywords, ',') AS keywords, array_to_string(expected_keywords, ',') AS symptoms FROM cases)""",
-                  _numbered("fresh"))
-    + _state("kb_state", f"(embedding IS NOT NULL OR len({s.tok('content')}) > 0)") + " UNION ALL " + _state("numbered", "true", f"'{NOW}'"),
+                  _numbered("seeds"), _embedded("numbered"), _filled("kb_state"))
+    + _state("filled") + " UNION ALL " + _state("fresh", f"'{NOW}'"),
     "history_append": _W(s.LOGS, f"h AS (SELECT *, sha256({s.mask('content')}) AS log_hash FROM logs)") + f"""
 SELECT substr(sha256(concat_ws('|', log_hash, upper(strategy))), 1, 36) AS session_id, log_hash,
   {s.clip('content', fv.SNIPPET_CHARS)} AS log_snippet, '1,2' AS retrieved_doc_ids,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from faultlens.functions.text import embed_text
 from faultlens.functions.vectors import cosine_similarity, float32_vector
 from faultlens.operators import fusion, textsearch as ts, vectorsearch as vs
-from faultlens.operators.embedding import hashed_vector, hashed_vectors
+from faultlens.operators.embedding import hashed_vector, hashed_vectors, model_vectors
 from faultlens.operators.hybrid import all_hits, hybrid_search, retrieved_ids, with_articles
 from faultlens.plans.catalog import sql as s
+from faultlens.plans.catalog.knowledge import micros
 from faultlens.plans.diagnose import prepare_logs
 from faultlens.sources import views
 from faultlens.sources.stage import stage
@@ -41,12 +43,34 @@ def kb_embedded(spark, d):
     return stage(kb.withColumn("embedding", hashed_vector(embed_text(F.col("title"), F.col("content")))), "kb")
 
 
+def vectors_with_failures(df, key, text):
+    """A service that fails for a quarter of the texts: those logs have the text sources alone."""
+    return hashed_vectors(df.select(key, F.when(F.md5(text) >= "4", F.col(text)).alias(text)), key, text)
+
+
 def embed_column(spark, d):
     kb = _kb(spark, d)
     texts = kb.select("id", embed_text(F.col("title"), F.col("content")).alias("text"))
     vectors = hashed_vectors(texts, "id", "text")
-    micros = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
-    return vectors.select("id", F.array_join(micros, ",").alias("embedding_micros"))
+    return vectors.select("id", micros(F.col("embedding")).alias("embedding_micros"))
+
+
+def _text_client():
+    """Stands in for an embedding service: eight numbers from the hash of the text, an error for some texts."""
+
+    def embed(text):
+        digest = hashlib.md5(text.encode()).digest()
+        if digest[15] < 16:
+            raise RuntimeError("busy")
+        return [b / 256 for b in digest[:8]]
+
+    return embed
+
+
+def model_vectors_query(spark, d):
+    texts = _kb(spark, d).select("id", embed_text(F.col("title"), F.col("content")).alias("text"))
+    vectors = model_vectors(texts, "id", "text", _text_client, waits=(0, 0))
+    return vectors.select("id", micros(F.col("embedding")).alias("embedding_micros"))
 
 
 def fts_match(spark, d):
@@ -155,6 +179,7 @@ def retrieved(spark, d):
 
 QUERIES = {
     "embed_column": embed_column,
+    "model_vectors": model_vectors_query,
     "fts_match": fts_match,
     "fts_topk": fts_topk,
     "fts_keywords": fts_keywords,
@@ -184,8 +209,11 @@ _BENCH = [s.KB, s.fts("benchmark", "item_id", "text")]
 _ALL = _W(*_P, s.hits(), s.FUSED, s.ranked())
 ORACLE = {
     "embed_column": _W(s.KB, "kbt AS (SELECT id, title || chr(10) || content AS txt FROM kb)", s.hashed("kbt", "id", "txt", "v"))
-    + """SELECT id, array_to_string(list_transform(embedding, lambda x:
-  CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',') AS embedding_micros FROM v""",
+    + f"SELECT id, {s.micros('embedding')} AS embedding_micros FROM v",
+    "model_vectors": _W(s.KB, "h AS (SELECT id, md5(title || chr(10) || content) AS h FROM kb)",
+                        """v AS (SELECT id, CASE WHEN h[31] <> '0' THEN list_transform(range(0, 8),
+  lambda i: CAST(strpos('123456789abcdef', h[2 * i + 1]) * 16 + strpos('123456789abcdef', h[2 * i + 2]) AS DOUBLE) / 256) END AS embedding FROM h)""")
+    + f"SELECT id, {s.micros('embedding')} AS embedding_micros FROM v",
     "fts_match": _W(*_BENCH) + "SELECT qid AS query_id, id, round(score, 6) AS score FROM fts_all",
     "fts_topk": _W(*_BENCH) + "SELECT qid AS query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM fts",
     "fts_keywords": _W(*_P, "asked AS (SELECT log_id, array_to_string(keywords, ' ') AS qt FROM prep)", s.fts("asked", "log_id", "qt"))

@@ -284,6 +284,11 @@ def hashed(source: str, key: str, text: str, out: str) -> str:
   FROM {out}_m)"""
 
 
+def micros(vector: str) -> str:
+    return (f"array_to_string(list_transform({vector}, lambda x: "
+            "CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',')")
+
+
 def nearest(queries: str, qid: str, articles: str, aid: str, out: str, k: int = fv.TOP_K) -> str:
     """CTE ``out``(qid, id, similarity, rank) over two relations with an embedding column."""
     return f"""
@@ -297,8 +302,8 @@ def nearest(queries: str, qid: str, articles: str, aid: str, out: str, k: int =
   WHERE rank <= {k})"""
 
 
-def hits(vectors: bool = True, key: str = "log_id", logs: str = "prep", kb: str = "kb") -> str:
-    """CTE ``hits``(qid, id, source, p, rank, n_fts) of prepared logs against kb."""
+def hits(vectors: bool = True, key: str = "log_id", logs: str = "prep", kb: str = "kb", embedded: str = "true") -> str:
+    """CTE ``hits``(qid, id, source, p, rank, n_fts) of prepared logs against kb; ``embedded`` says which logs get a vector."""
     text = f"""
 ftq AS (SELECT {key} AS qid, array_to_string(keywords, ' ') AS qt FROM {logs}),
 {fts('ftq', 'qid', 'qt', kb).strip()},
@@ -309,7 +314,8 @@ text_hits AS (
     every = "SELECT * FROM text_hits"
     if vectors:
         text += f""",
-{hashed(logs, key, 'short', 'lvec').strip()},
+to_embed AS (SELECT {key}, short FROM {logs} WHERE {embedded}),
+{hashed('to_embed', key, 'short', 'lvec').strip()},
 kbt AS (SELECT id, title || chr(10) || content AS txt FROM {kb}),
 {hashed('kbt', 'id', 'txt', 'kvec').strip()},
 {nearest('lvec', key, 'kvec', 'id', 'near').strip()},
@@ -324,6 +330,9 @@ hits AS (
   LEFT JOIN (SELECT qid, count(*) AS n FROM fts GROUP BY qid) f ON f.qid = h.qid)"""
 
 
+# logs whose vector the service of the catalog gives
+EMBEDDED = "md5(short) >= '4'"
+
 FIRST_SOURCE = f"""
 merged AS (
   SELECT qid, id, source, p, rank,
