@@ -10,9 +10,15 @@ from faultlens.operators.knowledge import page_of
 from faultlens.sources.stage import stage
 
 
-def history_rows(diagnoses: DataFrame, session_id: Column | None = None, now: Column | None = None) -> DataFrame:
-    """Diagnoses in the shape of the history table (without id). Session ids are random by default."""
+def history_rows(
+    diagnoses: DataFrame, session_id: Column | None = None, now: Column | None = None, *more: str
+) -> DataFrame:
+    """Diagnoses in the shape of the history table (without id), and the named further columns.
+
+    Session ids are random by default.
+    """
     return diagnoses.select(
+        *more,
         (F.uuid() if session_id is None else session_id).alias("session_id"),
         F.col("original_hash").alias("log_hash"),
         clip_chars(F.col("processed_text"), fv.SNIPPET_CHARS).alias("log_snippet"),

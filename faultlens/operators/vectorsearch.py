@@ -113,6 +113,10 @@ def _block_product(left: DataFrame, right: DataFrame, keys: list[str], k: int) -
     )
 
 
+def hyperplanes(n_bits: int, dim: int) -> np.ndarray:
+    return np.random.default_rng(20240101).standard_normal((n_bits, dim))
+
+
 def _cells(vectors: pd.Series, planes: np.ndarray, n_probe: int) -> pd.Series:
     margins = _unit(vectors) @ planes.T
     bits = 1 << np.arange(planes.shape[0])
@@ -144,7 +148,7 @@ def vector_topk_ann(
     if n_bits is None:
         n_bits = max(1, math.ceil(math.log2(_n_blocks(articles, "id", n_articles, cell_rows))))
     queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
-    planes = np.random.default_rng(20240101).standard_normal((n_bits, dim))
+    planes = hyperplanes(n_bits, dim)
     n_probe = min(n_probe, n_bits + 1)
 
     def cells(count: int):

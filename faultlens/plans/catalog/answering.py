@@ -19,7 +19,8 @@ from faultlens.operators.prompting import assemble_prompt, miss_to_cot
 from faultlens.plans.catalog import sql as s
 from faultlens.plans.catalog.knowledge import NOW, _now, _embedded, _table, _state
 from faultlens.plans.catalog.searching import kb_embedded, prepared, vectors_with_failures
-from faultlens.plans.diagnose import bad_answers, build_prompts, diagnose_batch, prepare_logs
+from faultlens.plans.diagnose import bad_answers, build_prompts, diagnose_and_store, diagnose_batch
+from faultlens.session import work_path
 from faultlens.sources import views
 from faultlens.sources.stage import stage
 
@@ -124,7 +125,7 @@ def _answerer(spark, d, key, conv_id, number):
     return answer
 
 
-def _diagnosed(spark, d):
+def _diagnosis_inputs(spark, d):
     logs = views.raw_logs(spark, d).withColumnRenamed("log_id", "query_id")
     earlier = logs.filter(F.col("ts") < F.lit(FIRST_WEEK_END).cast("timestamp_ntz")).select(
         F.col("query_id").alias("id"), log_fingerprint(mask(F.col("content"))).alias("log_hash"),
@@ -134,7 +135,33 @@ def _diagnosed(spark, d):
         ).alias("diagnosis_result"),
     )
     answer = _answerer(spark, d, ["query_id"], lambda: whole_div(F.col("query_id"), 4), lambda: F.col("query_id"))
-    return diagnose_batch(logs, kb_embedded(spark, d), earlier, answer, embed=vectors_with_failures)
+    return logs, kb_embedded(spark, d), earlier, answer
+
+
+def _diagnosed(spark, d):
+    return diagnose_batch(*_diagnosis_inputs(spark, d), embed=vectors_with_failures)
+
+
+def _stored(spark, d):
+    logs, kb, earlier, answer = _diagnosis_inputs(spark, d)
+    stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    kb = kb.withColumn("created_at", stamp).withColumn("updated_at", stamp)
+    out = work_path(spark, "diagnosed")
+    return diagnose_and_store(logs, kb, earlier, answer, out, "r1", _now(), embed=vectors_with_failures)
+
+
+def diagnose_history(spark, d):
+    return _stored(spark, d)["history"].select(
+        "id", "session_id", "log_hash", F.md5("log_snippet").alias("snippet_md5"), "retrieved_doc_ids",
+        F.col("diagnosis_result.root_cause").alias("root_cause"), F.md5("diagnosis_result.analysis_process").alias("analysis_md5"),
+        F.array_join("diagnosis_result.solution_steps", "|").alias("steps"),
+        F.round("diagnosis_result.confidence", 6).alias("confidence"), "model_used", "prompt_strategy", "total_tokens",
+        "latency_ms", F.col("created_at").cast("string").alias("created"),
+    )
+
+
+def diagnose_articles(spark, d):
+    return _table(_stored(spark, d)["articles"])
 
 
 def diagnose_batch_query(spark, d):
@@ -168,6 +195,8 @@ QUERIES = {
     "diagnose_batch": diagnose_batch_query,
     "diagnose_bad_answers": diagnose_bad,
     "auto_learn": auto_learn,
+    "diagnose_history": diagnose_history,
+    "diagnose_articles": diagnose_articles,
 }
 
 _W = s.with_
@@ -206,6 +235,19 @@ asked AS (
     s.parsed("asked", "raw_content"),
     "done AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN root_cause = '' THEN 'bad' ELSE 'ok' END AS status FROM read)",
 ]
+_LEARNED = [f"""
+learned AS (
+  SELECT {s.clip('root_cause', fv.TITLE_CHARS)} AS title, {s.learned('root_cause', 'analysis_process', 'solution_steps')} AS content,
+    {s.category_of('key_errors')} AS category, array_to_string(key_errors, ',') AS keywords,
+    array_to_string(key_errors, ',') AS symptoms
+  FROM done WHERE status = 'ok' AND rag_missed AND parse_kind <> 'failed'),
+numbered AS (
+  SELECT *, (SELECT max(id) FROM kb) + row_number() OVER (
+    ORDER BY md5(concat_ws(chr(1), title, content, category, keywords, symptoms))) AS id FROM learned)""", _embedded("numbered")]
+# the service of the queries fails for some texts
+_SERVICE_VECTORS = ["""
+served AS (SELECT n.*, CASE WHEN md5(n.title || chr(10) || n.content) >= '4' THEN f.embedding END AS embedding
+  FROM numbered n JOIN fresh f ON f.id = n.id)"""]
 ORACLE = {
     "parse_answer": _W(s.ANSWERS, s.parsed("answers", "raw_content")) + "SELECT conv_id, turn, parse_kind FROM read",
     "answer_fields": _W(s.ANSWERS, s.parsed("answers", "raw_content")) + """SELECT conv_id, turn, root_cause,
@@ -232,16 +274,18 @@ UNION ALL SELECT p.log_id, original_hash, 'cache', m.strategy, NULL, NULL, NULL,
   NULL, NULL, NULL, p.log_id FROM prep p JOIN meta m ON m.log_id = p.log_id WHERE ts < TIMESTAMP '{FIRST_WEEK_END}'""",
     "diagnose_bad_answers": _W(*_DIAGNOSED)
     + f"SELECT log_id AS query_id, raw_content, {_KEYS} AS parsed_keys FROM done WHERE status = 'bad'",
-    "auto_learn": _W(*_DIAGNOSED, "kb_state AS (SELECT kb.*, e.embedding FROM kb LEFT JOIN embeddings e ON e.vec_id = kb.id)", f"""
-learned AS (
-  SELECT {s.clip('root_cause', fv.TITLE_CHARS)} AS title, {s.learned('root_cause', 'analysis_process', 'solution_steps')} AS content,
-    {s.category_of('key_errors')} AS category, array_to_string(key_errors, ',') AS keywords,
-    array_to_string(key_errors, ',') AS symptoms
-  FROM done WHERE status = 'ok' AND rag_missed AND parse_kind <> 'failed'),
-numbered AS (
-  SELECT *, (SELECT max(id) FROM kb) + row_number() OVER (
-    ORDER BY md5(concat_ws(chr(1), title, content, category, keywords, symptoms))) AS id FROM learned)""", _embedded("numbered"))
+    "auto_learn": _W(*_DIAGNOSED, "kb_state AS (SELECT kb.*, e.embedding FROM kb LEFT JOIN embeddings e ON e.vec_id = kb.id)", *_LEARNED)
     + _state("kb_state") + " UNION ALL " + _state("fresh", f"'{NOW}'"),
+    "diagnose_articles": _W(*_DIAGNOSED, _embedded("kb", "kb_now"), *_LEARNED, *_SERVICE_VECTORS)
+    + _state("kb_now") + " UNION ALL " + _state("served", f"'{NOW}'"),
+    "diagnose_history": _W(*_DIAGNOSED) + f"""SELECT (SELECT max(log_id) FROM logs WHERE ts < TIMESTAMP '{FIRST_WEEK_END}')
+    + row_number() OVER (ORDER BY md5(CAST(log_id AS VARCHAR))) AS id,
+  substr(sha256(concat_ws('|', original_hash, strategy, concat('r1-', log_id))), 1, 36) AS session_id, original_hash AS log_hash,
+  md5({s.clip('short', fv.SNIPPET_CHARS)}) AS snippet_md5, coalesce(retrieved_doc_ids, '') AS retrieved_doc_ids, root_cause,
+  md5(analysis_process) AS analysis_md5, array_to_string(solution_steps, '|') AS steps, round(confidence, 6) AS confidence,
+  {s.lit(fv.MODEL_NAME)} AS model_used, strategy AS prompt_strategy, CAST(total_tokens AS BIGINT) AS total_tokens,
+  CAST(latency_ms AS BIGINT) AS latency_ms, '{NOW}' AS created FROM done WHERE status = 'ok'""",
+
     "recorded_answers": _W(*_DIRECT, _TURNS) + "SELECT log_id AS query_id, md5(" + _turn_sql("log_id") + """) AS raw_md5,
   CASE WHEN turns IS NULL THEN 'no recorded answer' END AS error,
   CAST(CASE WHEN turns IS NULL THEN 0 ELSE strlen(user_prompt) // 3 END AS INT) AS total_tokens,

@@ -111,7 +111,7 @@ def vector_topk(spark, d):
 
 
 def vector_topk_ann(spark, d):
-    return vs.vector_topk_ann(*_vectors(spark, d), n_bits=3, n_probe=3)
+    return vs.vector_topk_ann(*_vectors(spark, d), n_bits=_ANN_BITS, n_probe=_ANN_PROBES)
 
 
 def vector_rank(spark, d):
@@ -206,6 +206,23 @@ QUERIES = {
 _W = s.with_
 _P = [s.LOGS, s.KB, s.prepared()]
 _BENCH = [s.KB, s.fts("benchmark", "item_id", "text")]
+_ANN_BITS = _ANN_PROBES = 3
+_PLANES = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for i, plane in enumerate(vs.hyperplanes(_ANN_BITS, 64)))
+_ANN = [f"planes(p, plane) AS (VALUES {_PLANES})", """
+margins AS (
+  SELECT vec_id, p, list_inner_product(CAST(embedding AS DOUBLE[]), plane) AS m FROM embeddings, planes WHERE embedding IS NOT NULL),
+homes AS (SELECT vec_id, CAST(sum(CASE WHEN m > 0 THEN 1 << p ELSE 0 END) AS BIGINT) AS cell FROM margins GROUP BY vec_id),
+across AS (
+  SELECT vec_id, p FROM margins
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(m), p) < """ + str(_ANN_PROBES) + """),
+visits AS (
+  SELECT vec_id, cell FROM homes
+  UNION ALL SELECT h.vec_id, xor(h.cell, CAST(1 << a.p AS BIGINT)) FROM homes h JOIN across a ON a.vec_id = h.vec_id)""",
+    s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near", where="""EXISTS (
+    SELECT 1 FROM visits v JOIN homes h ON h.cell = v.cell WHERE v.vec_id = q.vec_id AND h.vec_id = a.vec_id)"""),
+    s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "exact"), f"""
+short AS (SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT qid FROM near GROUP BY qid HAVING count(*) >= {s.fv.TOP_K})),
+ann AS (SELECT * FROM near WHERE qid NOT IN (FROM short) UNION ALL SELECT * FROM exact WHERE qid IN (FROM short))"""]
 _ALL = _W(*_P, s.hits(), s.FUSED, s.ranked())
 ORACLE = {
     "embed_column": _W(s.KB, "kbt AS (SELECT id, title || chr(10) || content AS txt FROM kb)", s.hashed("kbt", "id", "txt", "v"))
@@ -224,6 +241,7 @@ ORACLE = {
     "like_distinct": _W(*_P, s.like("prep", "log_id")) + "SELECT qid AS query_id, id, CAST(rank AS INT) AS rank FROM like_one",
     "vector_topk": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))
     + "SELECT qid AS query_id, id, similarity, CAST(rank AS INT) AS rank FROM near",
+    "vector_topk_ann": _W(*_ANN) + "SELECT qid AS query_id, id, similarity, CAST(rank AS INT) AS rank FROM ann",
     "vector_rank": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))
     + """SELECT qid AS query_id, id, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INT) AS vec_rank
 FROM near WHERE similarity > 0""",

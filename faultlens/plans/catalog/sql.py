@@ -289,13 +289,13 @@ def micros(vector: str) -> str:
             "CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',')")
 
 
-def nearest(queries: str, qid: str, articles: str, aid: str, out: str, k: int = fv.TOP_K) -> str:
-    """CTE ``out``(qid, id, similarity, rank) over two relations with an embedding column."""
+def nearest(queries: str, qid: str, articles: str, aid: str, out: str, k: int = fv.TOP_K, where: str = "true") -> str:
+    """CTE ``out``(qid, id, similarity, rank) over two relations q and a with an embedding column."""
     return f"""
 {out}_s AS (
   SELECT q.{qid} AS qid, a.{aid} AS id,
     round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) AS similarity
-  FROM {queries} q, {articles} a WHERE q.embedding IS NOT NULL AND a.embedding IS NOT NULL),
+  FROM {queries} q, {articles} a WHERE q.embedding IS NOT NULL AND a.embedding IS NOT NULL AND {where}),
 {out} AS (
   SELECT qid, id, similarity, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM {out}_s)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.answers import answer_fields, parse_answers
 from faultlens.functions.prompts import pick_strategy
 from faultlens.operators.embedding import hashed_vectors
-from faultlens.operators.history import hash_lookup
+from faultlens.operators.history import hash_lookup, history_rows, stable_session_id
 from faultlens.operators.hybrid import hybrid_search, retrieved_ids
+from faultlens.operators.knowledge import auto_learn, number_rows
 from faultlens.operators.preprocess import preprocess, with_keywords
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot, pack_articles
 from faultlens.sources.stage import stage
@@ -80,6 +81,41 @@ def diagnose_batch(
     return done.unionByName(cached, allowMissingColumns=True)
 
 
+def diagnose_and_store(
+    logs: DataFrame,
+    kb: DataFrame,
+    history: DataFrame,
+    answer: Answerer,
+    out: str,
+    run: str,
+    now: Column | None = None,
+    **options,
+) -> dict[str, DataFrame]:
+    """``diagnose_batch`` and what follows from it, written below ``out``: outcome, history, articles.
+
+    History are the new rows, numbered after the last id: diagnoses with status ok. Articles are the new state of the
+    whole table, with those learned from searches without hits. Every run has its own folders; a repeated run
+    overwrites its own and reads kb and history as they were, so nothing is stored or learned twice.
+    """
+    spark = logs.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = f"{out.rstrip('/')}/{name}/run={run}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    outcome = written(diagnose_batch(logs, kb, history, answer, **options), "outcome")
+    good = outcome.filter("status = 'ok'")
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("last_id"))
+    session = stable_session_id(F.col("original_hash"), F.col("strategy"), F.concat_ws("-", F.lit(run), "query_id"))
+    rows = history_rows(good, session, now, "query_id").join(number_rows(good.select("query_id"), last), "query_id")
+    return {
+        "outcome": outcome,
+        "history": written(rows.drop("query_id"), "history"),
+        "articles": written(auto_learn(kb, good, options.get("embed", hashed_vectors), now), "articles"),
+    }
+
+
 def bad_answers(diagnosed: DataFrame) -> DataFrame:
     """The error output: raw text and the top-level keys of answers without a root cause."""
     from faultlens.functions.answers import parsed_keys

@@ -5,12 +5,13 @@ import json
 from pyspark.sql import functions as F
 
 from faultlens.functions import answers as an
+from faultlens.functions.answers import DIAGNOSIS
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.prompts import ARTICLES_TITLE, EXAMPLES, STEPS, pick_strategy
 from faultlens.operators.history import history_rows
 from faultlens.operators.inference import model_answers, recorded_answers
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot
-from faultlens.plans.diagnose import bad_answers, diagnose_batch
+from faultlens.plans.diagnose import bad_answers, diagnose_and_store, diagnose_batch
 from faultlens.plans.experiment import run_experiment
 from faultlens.sources import schemas
 
@@ -136,6 +137,24 @@ def test_diagnose_batch(spark):
     assert history_rows(done.filter("status = 'ok'")).count() == 2
 
 
+def test_diagnose_and_store_twice(spark, tmp_path):
+    logs = spark.createDataFrame(
+        [(1, "ERROR CPU", "zero_shot", True), (2, "ERROR bad", "cot", True), (4, "ERROR quiet", None, True), (5, "ERROR quiet", "cot", True)],
+        "query_id long, content string, strategy string, use_rag boolean")
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    articles = kb(spark).select("*", F.lit(None).cast("array<float>").alias("embedding"), stamp.alias("created_at"), stamp.alias("updated_at"))
+    history = spark.createDataFrame([], "id long, log_hash string, diagnosis_result " + DIAGNOSIS)
+    for _ in range(2):  # the repeat replaces what the first run wrote
+        made = diagnose_and_store(logs, articles, history, answerer, str(tmp_path), "a", stamp)
+        rows = made["history"].orderBy("id").collect()
+        assert [r.id for r in rows] == [1, 2, 3] and len({r.session_id for r in rows}) == 3
+        learned = made["articles"].filter("id > 2").collect()
+        assert made["articles"].count() == 3 and len(learned) == 1 and learned[0].embedding is not None
+    later = diagnose_and_store(logs, made["articles"], made["history"], answerer, str(tmp_path), "b", stamp)
+    assert {r.query_id: r.status for r in later["outcome"].collect()} == {1: "cache", 2: "bad", 4: "cache", 5: "cache"}
+    assert later["history"].count() == 0 and later["articles"].count() == 3
+
+
 def test_run_experiment(spark):
     cases = spark.createDataFrame(
         [("a", "CPU", "ERROR CPU", "the db is down", ["db", "down"]), ("b", "x", "ERROR none", "zzzz", ["q", "r", "s", "t"]),
