@@ -81,6 +81,33 @@ def test_passages_have_exact_ends(passages):
     assert {k[0] for k in rows} == {1, 2} and all(r.similarity >= 0.8 for r in rows.values())
 
 
+def _long_matches(texts, min_words):
+    """(b, a, first word in b) of every exact run of ``min_words`` words of b that an earlier a has, over all pairs."""
+    grams = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - min_words + 1):
+            grams.setdefault(tuple(t[j:j + min_words]), []).append((i, j))
+    return {(b, a, j) for places in grams.values() for b, j in places for a, _ in places if a < b}
+
+
+def test_passages_of_parts_that_are_frequent_alone(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    parts = [[word() for _ in range(40)] for _ in range(12)]
+    filler = lambda: [word() for _ in range(30)]
+    texts = [filler() for _ in range(60)]
+    for n in range(6):  # each pair of parts alone in two documents, side by side in two others
+        x, y = parts[2 * n:2 * n + 2]
+        for doc, put in ((n, x), (n + 10, y), (n + 20, x + y), (n + 30, x), (n + 40, y), (n + 50, x + y)):
+            texts[doc] = filler() + put + filler()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = substring.repeated_passages(docs).collect()
+    assert len(rows) == 6 and {(r.doc_id, r.other_id, r.end - r.start, r.n_matches) for r in rows} == {(n + 50, n + 20, 80, 80) for n in range(6)}
+    # every word of a long match over all pairs lies in a reported passage
+    for b, a, j in _long_matches(texts, substring.MIN_WORDS):
+        assert any(r.doc_id == b and r.start <= j and j + substring.MIN_WORDS <= r.end for r in rows)
+
+
 def test_shingle_bound_is_never_low_and_near_copies_are_found(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
