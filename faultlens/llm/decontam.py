@@ -11,7 +11,7 @@ from faultlens.sources.stage import stage
 
 MASKS = ("1101100101", "111010011", "10110111")  # 1: the word counts, 0: any word may stand there
 MIN_WORDS = 13
-PENALTY = 4  # a mismatch undoes four matches: a segment gains only while over 4 of 5 words agree
+PENALTY = 4  # a mismatch undoes four matches: a segment is not under 0 while 4 of 5 words agree
 SEEDS_AT_ONCE = 1_000_000
 
 
@@ -39,26 +39,36 @@ def _long_enough(rows: DataFrame, masks: Sequence[str]) -> DataFrame:
     return rows.filter(F.size("hs") >= min(map(len, masks)))
 
 
-def _best_segment(agree: Column) -> Column:
-    """struct(best, first, last): the segment of most matches less PENALTY per mismatch; ties: it ends first, then is shortest."""
-    zero = F.lit(0)
-    start = F.struct(zero.alias("i"), zero.alias("run"), zero.alias("since"), zero.alias("best"), zero.alias("first"), F.lit(-1).alias("last"))
-
-    def step(s: Column, same: Column) -> Column:
-        fresh = s["run"] <= 0
-        run = F.when(fresh, F.lit(0)).otherwise(s["run"]) + F.when(same, F.lit(1)).otherwise(F.lit(-PENALTY))
-        since = F.when(fresh, s["i"]).otherwise(s["since"])
-        better = run > s["best"]
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            run.alias("run"),
-            since.alias("since"),
-            F.when(better, run).otherwise(s["best"]).alias("best"),
-            F.when(better, since).otherwise(s["first"]).alias("first"),
-            F.when(better, s["i"]).otherwise(s["last"]).alias("last"),
+def _best_segment(agree: Column, need: Column, at_first: Column, at_last: Column) -> Column:
+    """struct(best, first, last): of the segments of ``need`` words or more that begin and end with a word that agrees, or
+    at an end of the item (``at_first``, ``at_last``: agree begins, ends there), the one of most matches less PENALTY per
+    mismatch, if that is not under 0; else best is -1. Ties: it ends first, then is shortest."""
+    pairs = F.zip_with(agree, F.concat(F.array_repeat(F.lit(False), need - 1), agree), lambda x, y: F.struct(x.alias("now"), y.alias("then")))
+    zero, none = F.lit(0), F.lit(2**30)
+    names = ("i", "upto", "behind", "low", "since", "best", "first", "last")
+    start = F.struct(*(v.alias(n) for n, v in zip(names, (zero, zero, zero, none, zero, F.lit(-1), zero, F.lit(-1)))))
+    gain = lambda same: F.when(same, F.lit(1)).otherwise(F.lit(-PENALTY))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["i"] - need + 1  # the last place a segment that ends here can begin at; behind: the score before it
+        enters = (begin >= 0) & (x["then"] | (at_first & (begin == 0))) & (s["behind"] <= s["low"])
+        low = F.when(enters, s["behind"]).otherwise(s["low"])
+        since = F.when(enters, begin).otherwise(s["since"])
+        upto = s["upto"] + gain(x["now"])
+        better = (x["now"] | (at_last & (s["i"] == F.size(agree) - 1))) & (upto - low > s["best"])
+        values = (
+            s["i"] + 1,
+            upto,
+            s["behind"] + F.when(begin >= 0, gain(x["then"])).otherwise(zero),
+            low,
+            since,
+            F.when(better, upto - low).otherwise(s["best"]),
+            F.when(better, since).otherwise(s["first"]),
+            F.when(better, s["i"]).otherwise(s["last"]),
         )
+        return F.struct(*(v.alias(n) for n, v in zip(names, values)))
 
-    return F.aggregate(agree, start, step)
+    return F.aggregate(F.slice(pairs, 1, F.size(agree)), start, step)
 
 
 def overlaps(
@@ -71,9 +81,9 @@ def overlaps(
     """Overlaps of documents with benchmark items: (doc_id, item_id, text_key, doc_start, item_start, n_words, n_matches).
 
     Each mask is laid on every word position of every whole text; the words under its ones make a seed. Seeds that
-    a document and an item share give a diagonal; along it, document and item are compared word by word, and the
-    best segment counts if it has ``min_words`` words (the whole item, if that is shorter) of which four in
-    five agree. Per row of the documents and item the segment with most matches is returned. Texts and
+    a document and an item share give a diagonal; along it, document and item are compared word by word, and any
+    segment counts that has ``min_words`` words (the whole item, if that is shorter) of which four in five agree, and
+    that begins and ends with a word that agrees or at an end of the item. Per row of the documents and item the segment with most matches is returned. Texts and
     items without words, null or shorter than the shortest mask have no seeds and so no overlap.
 
     Seeds of the benchmark are broadcast in slices of at most ``seeds_at_once`` rows, and the documents are read once
@@ -101,10 +111,13 @@ def overlaps(
     ]
     diagonals = reduce(DataFrame.unionByName, hits).distinct()
     beside = F.slice("hs", F.greatest(-F.col("at"), F.lit(0)) + 1, F.size("part"))
-    compared = diagonals.join(items, "item").select(
+    agreeing = diagonals.join(items, "item").select(
         "doc_id", "text_key", "item_id", "item", "at", F.size("hs").alias("n_item"),
-        _best_segment(F.zip_with("part", beside, lambda x, y: x == y)).alias("s"),
+        F.zip_with("part", beside, lambda x, y: x == y).alias("agree"),
     )
+    need = F.least(F.lit(min_words), F.col("n_item"))
+    at_last = F.size("agree") + F.greatest(-F.col("at"), F.lit(0)) == F.col("n_item")
+    compared = agreeing.filter(F.size("agree") >= need).withColumn("s", _best_segment(F.col("agree"), need, F.col("at") >= 0, at_last))
     n_words = F.col("s.last") - F.col("s.first") + 1
     found = compared.select(
         "doc_id", "text_key", "item_id", "item", "n_item",
@@ -112,7 +125,8 @@ def overlaps(
         ((F.col("s.best") + PENALTY * n_words) / (PENALTY + 1)).cast("int").alias("n_matches"),
         (F.col("s.first") + F.greatest("at", F.lit(0))).alias("doc_start"),
         (F.col("s.first") + F.greatest(-F.col("at"), F.lit(0))).alias("item_start"),
-    ).filter(F.col("n_words") >= F.least(F.lit(min_words), F.col("n_item")))
+        F.col("s.best").alias("score"),
+    ).filter("score >= 0")
     best = F.max(F.struct("n_matches", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "n_words")).alias("b")
     return found.groupBy("doc_id", "text_key", "item_id", "item").agg(best).select(
         "doc_id", "item_id", "text_key",

@@ -161,6 +161,25 @@ def test_overlaps_tolerate_substitutions(spark):
     assert (rows[1].doc_start, rows[1].n_words, rows[1].n_matches) == (50, 30, 30) and (rows[4].item_start, rows[4].n_words) == (5, 15)
 
 
+def test_overlaps_find_short_items_with_substitutions_at_every_place(spark):
+    seeds = lambda same: any(all(same[i + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(len(same) - len(m) + 1))
+    items, docs, want = [], [], {}
+    for n in range(13, 21):
+        item = [f"n{n}i{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for places in {tuple(sorted({i, j})) for i in range(n) for j in range(n)}:
+            same = [k not in places for k in range(n)]
+            if seeds(same):  # a copy without a common seed cannot be found
+                want[len(docs)] = n
+                words = ["before"] * 5 + [w if s else "changed" for w, s in zip(item, same)] + ["after"] * 5
+                docs.append((len(docs), " ".join(words)))
+    # twelve equal words of a longer item are none, unless the words beside them reach an end of it
+    docs.append((len(docs), " ".join(["before"] * 5 + [f"n20i{k}" for k in range(8, 20)] + ["after"] * 5)))
+    found = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in found} == want
+    assert all(r.n_words >= 13 and 5 * r.n_matches >= 4 * r.n_words for r in found)
+
+
 def test_spans_equal_python_and_random_strings_are_added(spark):
     rng = random.Random(8)
     letters = secrets.ALPHABET[:62]
