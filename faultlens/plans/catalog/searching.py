@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from faultlens.functions.text import embed_text
 from faultlens.functions.vectors import cosine_similarity, float32_vector
@@ -114,6 +114,22 @@ def vector_topk_ann(spark, d):
     return vs.vector_topk_ann(*_vectors(spark, d), n_bits=_ANN_BITS, n_probe=_ANN_PROBES)
 
 
+def vector_ann_recall(spark, d):
+    """Share of the exact neighbours that the approximate search finds, by number of bits, for every hundredth vector."""
+    queries, articles = _vectors(spark, d)
+    queries = queries.filter("query_id % 100 = 0")
+    exact = vs.vector_topk(queries, articles).select("query_id", "id")
+    found = [
+        vs.vector_topk_ann(queries, articles, n_bits=bits).select("query_id", "id", F.lit(bits).alias("n_bits"))
+        for bits in _RECALL_BITS
+    ]
+    hits = reduce(DataFrame.unionByName, found).withColumn("hit", F.lit(1))
+    asked = exact.withColumn("n_bits", F.explode(F.array(*map(F.lit, _RECALL_BITS))))
+    return asked.join(hits, ["n_bits", "query_id", "id"], "left").groupBy("n_bits").agg(
+        F.count(F.lit(1)).alias("n_neighbours"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall")
+    )
+
+
 def vector_rank(spark, d):
     return vs.vector_rank(vs.vector_topk(*_vectors(spark, d))).select("query_id", "id", "similarity", "vec_rank")
 
@@ -188,6 +204,7 @@ QUERIES = {
     "like_distinct": like_distinct,
     "vector_topk": vector_topk,
     "vector_topk_ann": vector_topk_ann,
+    "vector_ann_recall": vector_ann_recall,
     "vector_rank": vector_rank,
     "cosine_similarity": cosine_query,
     "float32_vectors": float32_vectors,
@@ -207,6 +224,7 @@ _W = s.with_
 _P = [s.LOGS, s.KB, s.prepared()]
 _BENCH = [s.KB, s.fts("benchmark", "item_id", "text")]
 _ANN_BITS = _ANN_PROBES = 3
+_RECALL_BITS = (3, 6, 8)
 _PLANES = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for i, plane in enumerate(vs.hyperplanes(_ANN_BITS, 64)))
 _ANN = [f"planes(p, plane) AS (VALUES {_PLANES})", """
 margins AS (

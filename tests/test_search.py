@@ -107,6 +107,16 @@ def test_ann_recall_and_crowded_cells(spark):
     assert all(exact[key] == found[key] for key in shared)
 
 
+def test_ann_recall_does_not_fall_with_the_number_of_bits(spark):
+    rng = np.random.default_rng(9)
+    points = vectors(rng, 1200, 64)  # without planted neighbours
+    articles, queries = frame(spark, "id", enumerate(points)), frame(spark, "query_id", enumerate(points[:100]))
+    exact = {(r.query_id, r.id) for r in vs.vector_topk(queries, articles, 5).collect()}
+    for bits in (3, 6, 8):
+        found = {(r.query_id, r.id) for r in vs.vector_topk_ann(queries, articles, 5, n_bits=bits).collect()}
+        assert len(exact & found) >= 0.9 * len(exact), bits
+
+
 def test_cosine_similarity(spark):
     rows = [([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), ([], [])]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
