@@ -108,6 +108,19 @@ def test_passages_of_parts_that_are_frequent_alone(spark):
         assert any(r.doc_id == b and r.start <= j and j + substring.MIN_WORDS <= r.end for r in rows)
 
 
+def test_passages_with_every_sixth_word_changed(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts = []
+    for n in (60, 100):
+        passage = [word() for _ in range(n)]
+        for copy in (passage, [w if i % 6 else word() for i, w in enumerate(passage)]):
+            texts.append([word() for _ in range(30)] + copy + [word() for _ in range(30)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = substring.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(1, 0), (3, 2)}
+
+
 def test_shingle_bound_is_never_low_and_near_copies_are_found(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
