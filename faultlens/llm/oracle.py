@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultlens.llm import decontam, mixing, sharding
+from faultlens.llm import decontam, mixing, resample, sharding
 
 _BLANKS = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,10 +128,39 @@ o AS (SELECT [{owners}] AS owners)
 SELECT doc_id, source, slot, CAST(owners[slot + 1] AS INT) AS shard FROM p, o"""
 
 
+def resampling(buckets: int = resample.BUCKETS, seed: int = resample.SEED) -> str:
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    runs = ", ".join(
+        f"list_transform(range(1, len(ws) - {k - 2}), lambda i: {" || ' ' || ".join(f'ws[i + {j}]' for j in range(k))})" for k in range(2, resample.ORDERS + 1)
+    )
+    as_double = lambda a, b: f"CAST({a} + 1 AS DOUBLE) * CAST(sum({b}) OVER () + {buckets} AS DOUBLE)"
+    h = f"(CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)"
+    return f"""WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+w AS (SELECT 'raw' AS side, doc_id, {words} AS ws FROM documents UNION ALL SELECT 'target', NULL, {words} FROM benchmark),
+f AS (SELECT side, doc_id, unnest(list_concat(ws, {runs})) AS feature FROM w),
+grouped AS (SELECT side, doc_id, feature, count(*) AS n FROM f GROUP BY ALL),
+hashed AS (SELECT feature, xor(list_reduce(list_transform(regexp_extract_all(hex(feature), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS bucket
+  FROM (SELECT DISTINCT feature FROM f), crc_table),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'raw'), 0) AS s, coalesce(sum(n) FILTER (side = 'target'), 0) AS t
+  FROM grouped JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln({as_double('t', 's')} / ({as_double('s', 't')}))) AS BIGINT) AS gain FROM counts),
+x AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM grouped JOIN hashed USING (feature) JOIN gains USING (bucket)
+  WHERE side = 'raw' GROUP BY doc_id),
+r AS (SELECT w.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln({h} / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN x ON x.doc_id = w.doc_id WHERE side = 'raw'),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, {resample.PERCENT} * count(*) OVER () // 100 AS n
+  FROM r WHERE n_words >= {resample.MIN_WORDS})
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank, n_words FROM r LEFT JOIN p ON p.doc_id = r.doc_id"""
+
+
 ORACLE = {
     "op2_source_mixing": mixing_sql(),
     "op5_sharding": shards(),
     "op6_embedding_near_dedup": similar_vectors(0.98),
     "op9_minhash_near_dedup": near_duplicates(3, 85),
     "op10_decontamination": overlaps(),
+    "op13_importance_resampling": resampling(),
 }

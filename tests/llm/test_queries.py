@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len(QUERIES) == 10
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len(QUERIES) == 11
 
 
 def test_pipeline_keeps_what_its_stages_keep(spark):
