@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultlens.llm import decontam, mixing, resample, sharding
+from faultlens.llm import decontam, mixing, resample, rules, sharding
 
 _BLANKS = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,11 +156,53 @@ p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, {
 SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank, n_words FROM r LEFT JOIN p ON p.doc_id = r.doc_id"""
 
 
+def quality_rules() -> str:
+    blank, line = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    keys = "lang_key, source_key"
+    bucket = f"value - value % CAST(pow(2, greatest(length(bin(value)) - {rules._BITS}, 0)) AS BIGINT)"
+    values = " UNION ALL ".join(
+        f"SELECT {keys}, '{name}' AS statistic, {factor} * {a} // {b} AS value FROM c WHERE NOT base_failed"
+        for name, (a, b, factor, _, _) in rules.STATISTICS.items()
+    )
+
+    def level(i: int, by: str) -> str:
+        return f"""l{i} AS (SELECT {by}statistic, max(total) AS total{i}, min(CASE WHEN 4 * upto >= total THEN bucket END) AS low{i},
+    min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS high{i}
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {by}statistic ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}statistic) AS total
+    FROM (SELECT {by}statistic, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"""
+
+    pick = lambda c: f"CASE WHEN total0 >= {rules.MIN_GROUP} THEN {c}0 WHEN total1 >= {rules.MIN_GROUP} THEN {c}1 ELSE {c}2 END"
+    least = "CASE statistic " + " ".join(f"WHEN '{n}' THEN {x[3]}" for n, x in rules.STATISTICS.items()) + " END"
+    broken = ", ".join(
+        f"CASE WHEN {factor} * {a} // {b} > (SELECT high FROM cut WHERE cut.lang_key = c.lang_key AND cut.source_key = c.source_key AND statistic = '{name}')"
+        + (f" OR {factor} * {a} // {b} < (SELECT low FROM cut WHERE cut.lang_key = c.lang_key AND cut.source_key = c.source_key AND statistic = '{name}')" if both else "")
+        + f" THEN '{name}' END"
+        for name, (a, b, factor, _, both) in rules.STATISTICS.items()
+    )
+    return f"""WITH w AS (SELECT doc_id, coalesce('=' || lang, 'null') AS lang_key, coalesce('=' || source, 'null') AS source_key, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{blank}'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{line}')) AS ls FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1), range(3) r(j) GROUP BY doc_id),
+c AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM (
+  SELECT w.doc_id, {keys}, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{blank}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id)),
+sk AS (SELECT {keys}, statistic, {bucket} AS bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
+{level(0, keys + ", ")}, {level(1, "lang_key, ")}, {level(2, "")},
+cut AS (SELECT {keys}, statistic, high + {rules.FENCE} * greatest(high - low, least) AS high, low - {rules.FENCE} * greatest(high - low, least) AS low
+  FROM (SELECT {keys}, statistic, {pick("low")} AS low, {pick("high")} AS high, {least} AS least FROM l0 JOIN l1 USING (lang_key, statistic) JOIN l2 USING (statistic))),
+j AS (SELECT c.*, CASE WHEN base_failed THEN 'base' ELSE concat_ws(',', {broken}) END AS failed_rules FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules = '' AS kept, failed_rules FROM j"""
+
+
 ORACLE = {
     "op2_source_mixing": mixing_sql(),
     "op5_sharding": shards(),
     "op6_embedding_near_dedup": similar_vectors(0.98),
     "op9_minhash_near_dedup": near_duplicates(3, 85),
     "op10_decontamination": overlaps(),
+    "op12_quality_rules": quality_rules(),
     "op13_importance_resampling": resampling(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.llm import (
-    decontam, egojoin, langid, lm, minhash, mixing, oracle, quality, resample, secrets, sharding, substring,
+    decontam, egojoin, langid, lm, minhash, mixing, oracle, quality, resample, rules, secrets, sharding, substring,
 )
 from faultlens.llm.tables import table
 
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,7 +67,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_secret_scan, op5_sharding,
         op6_embedding_near_dedup, op7_language_id, op8_lm_scoring, op9_minhash_near_dedup, op10_decontamination,
-        op13_importance_resampling,
+        op12_quality_rules, op13_importance_resampling,
     )
 }
 ORACLE = oracle.ORACLE
