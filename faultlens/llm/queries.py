@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.llm import (
     decontam, egojoin, langid, lm, minhash, mixing, oracle, quality, resample, rules, secrets, sharding, substring,
+    tokalign,
 )
 from faultlens.llm.tables import table
 
@@ -54,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.alignment_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_secret_scan, op5_sharding,
         op6_embedding_near_dedup, op7_language_id, op8_lm_scoring, op9_minhash_near_dedup, op10_decontamination,
-        op12_quality_rules, op13_importance_resampling,
+        op11_tokenizer_alignment, op12_quality_rules, op13_importance_resampling,
     )
 }
 ORACLE = oracle.ORACLE

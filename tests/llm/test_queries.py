@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len(QUERIES) == 12
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len(QUERIES) == 13
 
 
 def test_pipeline_keeps_what_its_stages_keep(spark):
