@@ -64,7 +64,9 @@ def _figures(ok: Column | None = None) -> list[Column]:
         return F.coalesce(F.sum(F.when(ok, F.col(name))), F.lit(0))
 
     def mean_of(name: str) -> Column:
-        return F.coalesce(F.try_divide(total_of(name).cast("double"), total.cast("double")), F.lit(0.0))
+        # a sum of decimals is the same in any order of the rows; what is no such number adds nothing
+        exact = F.sum(F.when(ok, F.col(name).try_cast("decimal(28,12)")))
+        return F.coalesce(F.try_divide(exact.cast("double"), total.cast("double")), F.lit(0.0))
 
     def whole_mean_of(name: str) -> Column:
         return F.coalesce(F.call_function("div", total_of(name), F.nullif(total, F.lit(0))), F.lit(0))

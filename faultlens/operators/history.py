@@ -101,15 +101,12 @@ def hourly_records(logs: DataFrame) -> DataFrame:
 
 
 def new_in_hours(hourly: DataFrame, hours: int) -> DataFrame:
-    """First logs of hours before which the hash was not seen for more than ``hours``.
-
-    Records without an hour say when a hash was last seen in earlier batches.
-    """
-    earlier = Window.partitionBy("log_hash").orderBy(F.col("hour").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    """First logs of hours before which the hash was not seen for more than ``hours``."""
+    earlier = Window.partitionBy("log_hash").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     seen, gap = F.max("last_ts").over(earlier), F.expr(f"INTERVAL {hours} HOURS")
     first = F.col("first.ts")
     return (
         hourly.withColumn("seen", seen)
-        .filter(F.col("hour").isNotNull() & (F.col("seen").isNull() | (first > F.col("seen") + gap) | (first < F.col("seen") - gap)))
+        .filter(F.col("hour").isNotNull() & (F.col("seen").isNull() | (first > F.col("seen") + gap)))
         .select("log_hash", "first.ts", "first.log_id")
     )

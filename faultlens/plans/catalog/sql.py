@@ -477,7 +477,7 @@ def figures(ok: str = "coalesce(error, '') = ''") -> list[tuple[str, str]]:
         return f"coalesce(sum({c}) FILTER ({ok}), 0)"
 
     def mean(c: str) -> str:
-        return f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE {total(c)}::DOUBLE / {n} END"
+        return f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE {total(f'CAST({c} AS DECIMAL(28,12))')}::DOUBLE / {n} END"
 
     def whole(c: str) -> str:
         return f"CASE WHEN {n} = 0 THEN 0 ELSE CAST({total(c)} AS BIGINT) // {n} END"

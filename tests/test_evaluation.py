@@ -44,6 +44,20 @@ def test_accuracy(spark):
     assert {r.strategy: r.total for r in by.collect()} == {"COT": 2, "FEW_SHOT": 0}
 
 
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    """352 confidences that sum to 173.03: their mean ends exactly on half a unit of the sixth digit."""
+    values = [0.49] * 351 + [173.03 - 351 * 0.49]
+    rows = [("c", "RAG", "COT", True, v, 10, 1, 1, "") for v in values]
+    schema = "category string, mode string, strategy string, is_correct boolean, confidence double, latency_ms long, tokens_used int, knowledge_used int, error string"
+    means = set()
+    for order in (rows, rows[::-1], rows[100:] + rows[:100]):
+        for parts in (1, 3, 8):
+            means.add(ev.accuracy_overall(spark.createDataFrame(order, schema).repartition(parts)).first().avg_confidence)
+    assert means == {0.4915625}
+    odd = spark.createDataFrame([(*rows[0][:4], v, *rows[0][5:]) for v in (0.5, float("nan"), None, 1e300)], schema)
+    assert ev.accuracy_overall(odd).first().avg_confidence == 0.125
+
+
 def test_mode_comparison(spark):
     rows = [result(mode="RAG", latency=10), result(mode="DIRECT", ok=False, latency=30), result("ZERO_SHOT", "RAG", latency=20)]
     got = {r.strategy: r for r in ev.mode_comparison(frame(spark, rows)).collect()}

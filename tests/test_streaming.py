@@ -1,6 +1,7 @@
 """Streams replayed in several micro-batches give the batch results."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -23,47 +24,74 @@ def test_preprocess_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, preprocess(logs).drop("key_errors").collect()))
 
 
+DEDUP = "log_hash string, ts timestamp, log_id long"
+START = dt.datetime(2024, 1, 1)
+
+
+def replay(spark, folder, steps, **options):
+    """Runs the repeat filter over each step in a start of its own: new rows, late rows, state rows after each."""
+    out, late, state, source = (str(folder / n) for n in ("out", "late", "state", "in"))
+    held = []
+    for rows in steps:
+        if rows:
+            spark.createDataFrame(rows, DEDUP).coalesce(1).write.mode("append").parquet(source)
+        query = st.stream_dedup(st.arriving(spark, source, spark.createDataFrame([], DEDUP).schema), out, state, late, **options)
+        query.awaitTermination()
+        if query.lastProgress and query.lastProgress["stateOperators"]:
+            held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    columns = ["log_hash", "ts", "log_id"]
+    return (sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()), key=str),
+            sorted(map(tuple, spark.read.parquet(late).select(*columns, "kind").collect()), key=str), held)
+
+
+def at(hours):
+    return START + dt.timedelta(hours=hours)
+
+
 def test_dedup_stream_replayed_by_day(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    # per day: one log that comes every day, one that comes every third day, and repeats within the day
-    days = []
+    # per day: one log that comes every day, one that comes every third day, one that never comes again
+    steps = []
     for day in range(9):
-        at = start + dt.timedelta(days=day)
-        rows = [("daily", at + dt.timedelta(hours=5), day * 10), ("daily", at + dt.timedelta(hours=6), day * 10 + 1)]
+        rows = [("daily", at(24 * day + 5), day * 10), ("daily", at(24 * day + 6), day * 10 + 1), (f"once{day}", at(24 * day + 7), day * 10 + 4)]
         if day % 3 == 0:
-            rows += [("rare", at + dt.timedelta(hours=1), day * 10 + 2), ("rare", at + dt.timedelta(hours=2), day * 10 + 3)]
-        days.append(rows)
-    schema = "log_hash string, ts timestamp, log_id long"
-    out, state, seen, source = (str(tmp_path / n) for n in ("out", "state", "seen", "in"))
-    for rows in days:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
-    found = spark.read.parquet(out)
-    batch = first_per_day(spark.createDataFrame([r for rows in days for r in rows], schema))
-    # a log that comes back after more than a day is new again, in the stream as in the batch
-    assert found.filter("log_hash = 'rare'").count() == batch.filter("log_hash = 'rare'").count() == 3
-    # repeats within the day never come out
-    assert found.groupBy("log_hash", F.to_date("ts")).count().filter("count > 1").count() == 0
-    columns = ["log_hash", "ts", "log_id"]
-    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
-
-
-def test_dedup_stream_keeps_weeks_in_one_batch_and_repeats_safely(spark, tmp_path):
-    start, schema = dt.datetime(2024, 1, 1), "log_hash string, ts timestamp, log_id long"
-    rows = [("a", start + dt.timedelta(days=d), d) for d in (0, 2, 14, 30)] + [("a", start + dt.timedelta(days=30, hours=3), 99)]
-    out, state, seen, source = (str(tmp_path / n) for n in ("out", "state", "seen", "in"))
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
-    for _ in range(2):  # a second start finds nothing new
-        st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
-    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == [0, 2, 14, 30]
-    late = [("a", start + dt.timedelta(days=7), 7), ("a", start + dt.timedelta(days=30, hours=1), 98)]
-    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
-    st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
+            rows += [("rare", at(24 * day + 1), day * 10 + 2), ("rare", at(24 * day + 2), day * 10 + 3)]
+        steps.append(rows)
+    new, late, held = replay(spark, tmp_path, steps, lateness="2 hours", sweep="1 ms")
+    batch = first_per_day(spark.createDataFrame([r for rows in steps for r in rows], DEDUP)).select("log_hash", "ts", "log_id")
+    assert new == sorted(map(tuple, batch.collect()), key=str) and late == []
+    assert sum(r[0] == "rare" for r in new) == 3  # back after more than a day: new again
+    # what cannot be repeated any more has left the store: it does not grow with the days
+    assert max(held[3:]) <= max(held[:3]) + 1 and held[-1] <= 4
+
+
+def test_dedup_stream_random_arrival_equals_batch(spark, tmp_path):
+    """In order from step to step, in any order within one; half of all logs share a hash."""
+    rng = random.Random(4)
+    rows = sorted((at(rng.uniform(0, 400)), i) for i in range(1500))
+    rows = [(rng.choice(["hot", f"h{rng.randrange(60)}"]), t, i) for t, i in rows]
+    steps = [rows[i:i + 300] for i in range(0, len(rows), 300)]
+    for step in steps:
+        rng.shuffle(step)
+    new, late, _ = replay(spark, tmp_path, steps, hours=3, lateness="0 seconds", sweep="1 ms")
+    batch = first_per_day(spark.createDataFrame(rows, DEDUP), 3).select("log_hash", "ts", "log_id")
+    assert new == sorted(map(tuple, batch.collect()), key=str) and late == []
+
+
+def test_dedup_stream_sends_late_logs_aside(spark, tmp_path):
+    steps = [
+        [("a", at(24 * d), d) for d in (0, 2, 14, 30)] + [("a", at(24 * 30 + 3), 99), ("x", None, 50), (None, at(720), 51)],
+        [],
+        # a week too late; late by less than the lateness and a repeat; the same and new; no time at all
+        [("a", at(24 * 7), 7), ("a", at(24 * 30 + 1), 98), ("b", at(24 * 30 - 20), 70), ("x", None, 71), (None, at(721), 72)],
+    ]
+    new, late, _ = replay(spark, tmp_path, steps, lateness="24 hours")
+    assert sorted(r[2] for r in new) == [0, 2, 14, 30, 51, 70]
+    assert {(r[2], r[3]) for r in late} == {(7, "late"), (50, "undated"), (71, "undated")}
     # once more the last batch, as after a failure before its commit
     for commit in (tmp_path / "state" / "commits").glob("*1*"):
         commit.unlink()
-    st.stream_dedup(st.arriving(spark, source, schema), out, state, seen).awaitTermination()
-    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == [0, 2, 7, 14, 30]
+    again = replay(spark, tmp_path, [[]], lateness="24 hours")
+    assert again[0] == new and again[1] == late
 
 
 def test_retrieve_stream_equals_batch_and_repeats_safely(spark, tmp_path):
