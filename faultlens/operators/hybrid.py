@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from faultlens.functions import fixed_values as fv
 from faultlens.operators.embedding import hashed_vectors
 from faultlens.operators.fusion import fuse
+from faultlens.operators.postings import SearchIndex
 from faultlens.operators.textsearch import text_hits
 from faultlens.operators.vectorsearch import vector_rank, vector_topk
 
@@ -28,9 +29,14 @@ def vector_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K, embed=hashed_
     )
 
 
-def all_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K, embed=hashed_vectors, search=vector_topk) -> DataFrame:
-    """hits(query_id, id, source, rank, n_fts) of every source; ``embed=None`` leaves vectors out."""
-    hits = text_hits(logs, kb, k)
+def all_hits(
+    logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K, embed=hashed_vectors, search=vector_topk, index: SearchIndex | None = None
+) -> DataFrame:
+    """hits(query_id, id, source, rank, n_fts) of every source; ``embed=None`` leaves vectors out.
+
+    ``index`` holds the words and symptoms of just these articles; without it they are split anew.
+    """
+    hits = text_hits(logs, kb, k, index)
     if embed is not None:
         hits = hits.unionByName(vector_hits(logs, kb, k, embed, search))
     return hits
@@ -44,9 +50,10 @@ def hybrid_search(
     method: str = "fused",
     embed=hashed_vectors,
     search=vector_topk,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """logs(query_id, keywords, processed_text) -> (query_id, hit_rank, id, similarity_score)."""
-    return fuse(all_hits(logs, kb, k, embed, search), k, threshold, method)
+    return fuse(all_hits(logs, kb, k, embed, search, index), k, threshold, method)
 
 
 def with_articles(hits: DataFrame, kb: DataFrame) -> DataFrame:

@@ -5,39 +5,30 @@ Both searches run once per distinct query, not once per log: logs share few dist
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.tagging import search_vocabulary
 from faultlens.functions.text import tokens
+from faultlens.operators.postings import SearchIndex, article_words, found_now, pattern_grams, symptom_grams
 from faultlens.sources.stage import stage
 
-
-OPEN_KEYWORDS = 1000
-
-
-def article_text(content: Column, keywords: Column) -> Column:
-    return F.concat(F.coalesce(content, F.lit("")), F.lit(" "), F.coalesce(keywords, F.lit("")))
-
-
-def fts_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
+def fts_match(queries: DataFrame, kb: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """Articles whose content and keywords hold every word of the query.
 
     queries(query_id, query_text), kb(id, content, keywords) -> (query_id, id, score), where the score is
     the share of the article's words that are query words. Per query only the postings of its rarest word
     are joined; the other words are checked inside the candidate's own word list, so frequent words never
-    multiply rows.
+    multiply rows. With an index the articles are not read at all, only the lists of the words asked for.
     """
-    found = _match_sets(queries, kb)
+    found = _match_sets(queries, kb, index)
     return _query_sets(queries).select("query_id", "q_key").join(found, "q_key").select("query_id", "id", "score")
 
 
-def fts_topk(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
+def fts_topk(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K, index: SearchIndex | None = None) -> DataFrame:
     """Best k articles per query: (query_id, id, rank, score); ties by id."""
     order = Window.partitionBy("q_key").orderBy(F.desc("score"), "id")
-    best = _match_sets(queries, kb).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = _match_sets(queries, kb, index).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return _query_sets(queries).select("query_id", "q_key").join(best, "q_key").select(
         "query_id", "id", "rank", "score"
     )
@@ -53,16 +44,17 @@ def _query_sets(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", words.alias("q_tokens")).withColumn("q_key", F.array_join("q_tokens", " "))
 
 
-def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
+def _match_sets(queries: DataFrame, kb: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """(q_key, id, score) for every distinct word set."""
     # the key is the whole set, so only the key is made distinct (a plain hash aggregation)
     sets = _query_sets(queries).select("q_key").distinct().withColumn("q_tokens", F.split("q_key", " "))
+    if index is not None:
+        return _match_kept(stage(sets, "word-sets"), index)
     set_words = sets.select("q_key", F.size("q_tokens").alias("n_words"), F.explode_outer("q_tokens").alias("word"))
     vocabulary = set_words.select("word").distinct()
 
-    words = kb.select("id", tokens(article_text(F.col("content"), F.col("keywords"))).alias("words"))
     # explode_outer: explode would add a filter that splits every text a second time
-    postings = words.select("id", F.size("words").alias("n_all"), F.explode_outer("words").alias("word"))
+    postings = article_words(kb).select("id", F.size("terms").alias("n_all"), F.explode_outer("terms").alias("word"))
     # one row per article: those of its words that any query asks for (bounded by its own text); written
     # once, so that the articles are read and split only once
     articles = stage(
@@ -72,20 +64,8 @@ def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
         "postings",
     )
     posted = articles.select("id", F.explode(F.array_distinct("hits")).alias("word"))
-
-    spread = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n_articles"))
-    # inner join: a query with a word no article has loses that row and is dropped by the count
-    drivers = (
-        set_words.join(spread, "word")
-        .groupBy("q_key")
-        .agg(
-            F.min(F.struct("n_articles", "word")).alias("rarest"),
-            F.count(F.lit(1)).alias("n_known"),
-            F.first("n_words").alias("n_words"),
-        )
-        .filter(F.col("n_known") == F.col("n_words"))
-        .select("q_key", F.col("rarest.word").alias("word"))
-    )
+    drivers = rarest_terms(set_words.withColumnsRenamed({"q_key": "asker", "word": "term", "n_words": "n_terms"}), posted.withColumnRenamed("word", "term"))
+    drivers = drivers.withColumnsRenamed({"asker": "q_key", "term": "word"})
     candidates = posted.join(drivers.join(sets, "q_key"), "word").select("id", "q_key", "q_tokens")
     checked = candidates.join(articles, "id").filter(
         F.size(F.array_intersect("q_tokens", "hits")) == F.size("q_tokens")
@@ -94,6 +74,37 @@ def _match_sets(queries: DataFrame, kb: DataFrame) -> DataFrame:
     return checked.select("q_key", "id", (matched / F.col("n_all")).alias("score"))
 
 
+def rarest_terms(asked: DataFrame, posted: DataFrame) -> DataFrame:
+    """(asker, term): of asked(asker, term, n_terms) the term in the fewest articles of posted(term, id).
+
+    Askers with a term that no article has are left out: the inner join loses that row, the count tells.
+    """
+    spread = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n_articles"))
+    per = asked.join(spread, "term").groupBy("asker").agg(
+        F.min(F.struct("n_articles", "term")).alias("rarest"), F.count(F.lit(1)).alias("n_known"), F.first("n_terms").alias("n_terms")
+    )
+    return per.filter(F.col("n_known") == F.col("n_terms")).select("asker", F.col("rarest.term").alias("term"))
+
+
+def _match_kept(sets: DataFrame, index: SearchIndex) -> DataFrame:
+    """``_match_sets`` from the kept lists: candidates come from the rarest word, the others are looked up by word and article."""
+    asked = sets.select(F.col("q_key").alias("asker"), F.size("q_tokens").alias("n_terms"), F.explode("q_tokens").alias("term"))
+    vocabulary = stage(asked.select("term").distinct(), "asked-words")
+    posted = stage(index.words.postings(vocabulary), "asked-postings")
+    drivers = rarest_terms(asked, posted).join(sets.withColumnRenamed("q_key", "asker"), "asker")
+    candidates = posted.join(drivers, "term").select(
+        "asker", "id", "total", F.col("n").alias("n_rarest"), F.array_remove("q_tokens", F.col("term")).alias("others")
+    )
+    alone = candidates.filter(F.size("others") == 0).select("asker", "id", "total", F.col("n_rarest").alias("matched"))
+    looked_up = candidates.select("asker", "id", "total", "n_rarest", F.size("others").alias("n_others"), F.explode("others").alias("term"))
+    both = looked_up.join(posted.select("term", "id", "n"), ["term", "id"]).groupBy("asker", "id").agg(
+        F.first("total").alias("total"), (F.first("n_rarest") + F.sum("n")).alias("matched"),
+        F.count(F.lit(1)).alias("n_found"), F.first("n_others").alias("n_others"),
+    )
+    full = both.filter(F.col("n_found") == F.col("n_others")).select("asker", "id", "total", "matched")
+    return alone.unionByName(full).select(F.col("asker").alias("q_key"), "id", (F.col("matched") / F.col("total")).alias("score"))
+
+
 def like_hits(kb: DataFrame, k: int = fv.TOP_K, words: list[str] | None = None) -> DataFrame:
     """(keyword, id): per keyword the first k articles whose symptoms are LIKE %keyword%.
 
@@ -105,27 +116,41 @@ def like_hits(kb: DataFrame, k: int = fv.TOP_K, words: list[str] | None = None)
     found = kb.select("id", F.array_remove(F.array(*tests), "").alias("words")).select(
         F.explode_outer("words").alias("keyword"), "id"
     ).filter("keyword IS NOT NULL")
-    order = Window.partitionBy("keyword").orderBy("id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+    return _first_ids(found, "keyword", k)
 
 
-def open_hits(kb: DataFrame, keywords: DataFrame, k: int = fv.TOP_K, at_once: int = OPEN_KEYWORDS) -> DataFrame:
-    """(keyword, id) for distinct keywords(keyword) of any kind: the first k articles per keyword.
+def open_hits(kb: DataFrame, keywords: DataFrame, k: int = fv.TOP_K, index: SearchIndex | None = None) -> DataFrame:
+    """(keyword, id) for distinct, written keywords(keyword) of any kind: the first k articles per keyword.
 
-    A substring has no key to join on: keywords are broadcast in slices of at most ``at_once``, and the articles are
-    read once per slice. At most k rows per keyword and task leave the articles.
+    A substring has no key to join on, but runs of its characters have: an article can only match a keyword if it holds all
+    runs of three characters of its literal parts (shorter parts: the whole part). The articles of the rarest run are
+    candidates, LIKE decides. Keywords of nothing but wildcards have no run; they differ in the number of underscores only
+    and are tested as one pattern per number.
     """
-    slices = max(1, -(-keywords.count() // at_once))
-    found = []
-    for number in range(slices):
-        some = keywords.filter(F.pmod(F.xxhash64("keyword"), F.lit(slices)) == number)
-        found.append(kb.join(F.broadcast(some), F.expr("symptoms LIKE concat('%', keyword, '%')")).select("keyword", "id"))
-    order = Window.partitionBy("keyword").orderBy("id")
-    hits = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
-    return hits.filter(F.col("rank") <= k).drop("rank")
-
-
-def like_match(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
+    asked = keywords.select(F.col("keyword").alias("asker"), pattern_grams(F.col("keyword")).alias("grams"))
+    asked = stage(asked.withColumn("n_terms", F.size("grams")), "keyword-grams")
+    runs = asked.select("asker", "n_terms", F.explode("grams").alias("term"))
+    wanted = stage(runs.select("term").distinct(), "asked-grams")
+    posted = index.grams.postings(wanted) if index is not None else found_now(symptom_grams(kb), wanted)
+    posted = stage(posted.select("term", "id"), "gram-postings")
+    candidates = posted.join(rarest_terms(runs, posted), "term").select("asker", "id")
+    tested = candidates.join(kb.select("id", "symptoms"), "id")
+    hits = tested.filter(F.expr("symptoms LIKE concat('%', asker, '%')")).select(F.col("asker").alias("keyword"), "id")
+    bare = asked.filter("n_terms = 0").select("asker", F.translate("asker", "%", "").alias("pattern"))
+    if not bare.isEmpty():
+        patterns = bare.select("pattern", F.lit("").alias("one")).distinct()  # a row per number of underscores
+        matched = kb.select("id", "symptoms", F.lit("").alias("one")).join(F.broadcast(patterns), "one")
+        first = _first_ids(matched.filter(F.expr("symptoms LIKE concat('%', pattern, '%')")).select("pattern", "id"), "pattern", k)
+        hits = hits.unionByName(bare.join(first, "pattern").select(F.col("asker").alias("keyword"), "id"))
+    return _first_ids(hits, "keyword", k)
+
+
+def _first_ids(hits: DataFrame, key: str, k: int) -> DataFrame:
+    order = Window.partitionBy(key).orderBy("id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+
+def like_match(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K, index: SearchIndex | None = None) -> DataFrame:
     """queries(query_id, keywords) -> (query_id, keyword, id), for keywords of any kind.
 
     Words of the closed list are tested in one projection of the articles; the other distinct keywords of the
@@ -135,22 +160,24 @@ def like_match(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFram
     known = F.col("keyword").isin(search_vocabulary())
     other = asked.filter(~known & (F.octet_length("keyword") >= fv.MIN_KEYWORD_BYTES)).select("keyword").distinct()
     other = stage(other, "open-keywords")
-    hits = like_hits(kb, k).unionByName(open_hits(kb, other, k))
+    hits = like_hits(kb, k)
+    if not other.isEmpty():
+        hits = hits.unionByName(open_hits(kb, other, k, index))
     return asked.join(hits, "keyword").select("query_id", "keyword", "id")
 
 
-def like_distinct(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
+def like_distinct(queries: DataFrame, kb: DataFrame, k: int = fv.TOP_K, index: SearchIndex | None = None) -> DataFrame:
     """Each article once per query, ranked by id: (query_id, id, rank).
 
     A query has at most k hits per keyword of the closed list, so its ids fit one small array.
     """
-    ids = like_match(queries, kb, k).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    ids = like_match(queries, kb, k, index).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return ids.select("query_id", F.posexplode("ids").alias("pos", "id")).select(
         "query_id", "id", (F.col("pos") + 1).alias("rank")
     )
 
 
-def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
+def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K, index: SearchIndex | None = None) -> DataFrame:
     """Both text searches for logs(query_id, keywords): (query_id, id, source, rank, n_source).
 
     The searches see each distinct keyword list once. Their bounded hit list (at most k + k per keyword)
@@ -162,8 +189,8 @@ def text_hits(logs: DataFrame, kb: DataFrame, k: int = fv.TOP_K) -> DataFrame:
     asked = lists.select(
         F.col("list_key").alias("query_id"), "keywords", F.array_join("keywords", " ").alias("query_text")
     )
-    fts = fts_topk(asked, kb, k).select("query_id", "id", F.lit("fts").alias("source"), "rank")
-    like = like_distinct(asked, kb, k).select("query_id", "id", F.lit("like").alias("source"), "rank")
+    fts = fts_topk(asked, kb, k, index).select("query_id", "id", F.lit("fts").alias("source"), "rank")
+    like = like_distinct(asked, kb, k, index).select("query_id", "id", F.lit("like").alias("source"), "rank")
     packed = (
         fts.unionByName(like)
         .groupBy(F.col("query_id").alias("list_key"))

@@ -12,9 +12,11 @@ from faultlens.functions.vectors import cosine_similarity, float32_vector
 from faultlens.operators import fusion, textsearch as ts, vectorsearch as vs
 from faultlens.operators.embedding import hashed_vector, hashed_vectors, model_vectors
 from faultlens.operators.hybrid import all_hits, hybrid_search, retrieved_ids, with_articles
+from faultlens.operators.postings import search_index
 from faultlens.plans.catalog import sql as s
 from faultlens.plans.catalog.knowledge import micros
 from faultlens.plans.diagnose import prepare_logs
+from faultlens.session import work_path
 from faultlens.sources import views
 from faultlens.sources.stage import stage
 
@@ -90,11 +92,33 @@ def like_match(spark, d):
     return ts.like_match(prepared(spark, d).select("query_id", "keywords"), _kb(spark, d))
 
 
-def like_open(spark, d):
+def _open_keywords(spark, d):
     """Keywords outside the closed list: the first word of every passage, and one word of the list."""
     first = F.regexp_extract(F.lower("query_text"), "[a-z]{4,}", 0)
-    asked = _passages(spark, d).select("query_id", F.array(first, F.lit("timeout"), F.lit("of")).alias("keywords"))
-    return ts.like_match(asked, _kb(spark, d))
+    return _passages(spark, d).select("query_id", F.array(first, F.lit("timeout"), F.lit("of")).alias("keywords"))
+
+
+def like_open(spark, d):
+    return ts.like_match(_open_keywords(spark, d), _kb(spark, d))
+
+
+def kept_index(spark, kb):
+    """Kept lists of the articles: first some of them, some in an older state; then changes, additions and removals."""
+    index = search_index(spark, work_path(spark, "kept-index"))
+    old = F.when(F.col("id") % 10 == 0, F.concat(F.lit("outdated timeout "), "keywords")).otherwise(F.col("content"))
+    index.add(kb.filter("id % 7 <> 3").withColumn("content", old), 0)
+    index.add(kb.filter("(id % 10 = 0 OR id % 7 = 3) AND id % 50 <> 49"), 1, kb.filter("id % 50 = 49"))
+    return index
+
+
+def fts_topk_kept(spark, d):
+    kb = _kb(spark, d)
+    return _round(ts.fts_topk(_passages(spark, d), kb, index=kept_index(spark, kb)), "score")
+
+
+def like_open_kept(spark, d):
+    kb = _kb(spark, d)
+    return ts.like_match(_open_keywords(spark, d), kb.filter("id % 50 <> 49"), index=kept_index(spark, kb))
 
 
 def like_distinct(spark, d):
@@ -198,7 +222,9 @@ QUERIES = {
     "model_vectors": model_vectors_query,
     "fts_match": fts_match,
     "fts_topk": fts_topk,
+    "fts_topk_kept": fts_topk_kept,
     "fts_keywords": fts_keywords,
+    "like_match_open_kept": like_open_kept,
     "like_match": like_match,
     "like_match_open": like_open,
     "like_distinct": like_distinct,
@@ -222,6 +248,8 @@ QUERIES = {
 
 _W = s.with_
 _P = [s.LOGS, s.KB, s.prepared()]
+_LIVE = "live AS (SELECT * FROM kb WHERE id % 50 <> 49)"
+_OPEN = "asked AS (SELECT item_id, [regexp_extract(lower(text), '[a-z]{4,}'), 'timeout', 'of'] AS keywords FROM benchmark)"
 _BENCH = [s.KB, s.fts("benchmark", "item_id", "text")]
 _ANN_BITS = _ANN_PROBES = 3
 _RECALL_BITS = (3, 6, 8)
@@ -254,7 +282,11 @@ ORACLE = {
     "fts_keywords": _W(*_P, "asked AS (SELECT log_id, array_to_string(keywords, ' ') AS qt FROM prep)", s.fts("asked", "log_id", "qt"))
     + "SELECT qid AS query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM fts",
     "like_match": _W(*_P, s.like("prep", "log_id")) + "SELECT qid AS query_id, keyword, id FROM like_all",
-    "like_match_open": _W(s.KB, "asked AS (SELECT item_id, [regexp_extract(lower(text), '[a-z]{4,}'), 'timeout', 'of'] AS keywords FROM benchmark)", s.like("asked", "item_id"))
+    "fts_topk_kept": _W(s.KB, _LIVE, s.fts("benchmark", "item_id", "text", "live"))
+    + "SELECT qid AS query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM fts",
+    "like_match_open_kept": _W(s.KB, _LIVE, _OPEN, s.like("asked", "item_id", "live"))
+    + "SELECT qid AS query_id, keyword, id FROM like_all",
+    "like_match_open": _W(s.KB, _OPEN, s.like("asked", "item_id"))
     + "SELECT qid AS query_id, keyword, id FROM like_all",
     "like_distinct": _W(*_P, s.like("prep", "log_id")) + "SELECT qid AS query_id, id, CAST(rank AS INT) AS rank FROM like_one",
     "vector_topk": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultlens.functions import fixed_values as fv
 from faultlens.operators.embedding import hashed_vectors
-from faultlens.operators.hybrid import hybrid_search
+from faultlens.operators.history import history_rows, stable_session_id
+from faultlens.operators.hybrid import hybrid_search, retrieved_ids
+from faultlens.operators.postings import SearchIndex
 from faultlens.operators.preprocess import preprocess, with_keywords
 from faultlens.sources.stage import stage
 
@@ -129,29 +133,47 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 def stream_retrieve(
     logs: DataFrame,
-    kb: DataFrame,
+    kb: DataFrame | Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     text: str = "content",
     method: str = "fused",
     embed=hashed_vectors,
+    history: str | None = None,
+    index: SearchIndex | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Hybrid search for arriving logs(query_id, content).
+    """Hybrid search for arriving logs(query_id, content), and a history row for each of them below ``history``.
 
-    Ranking needs the whole hit list of a log, so each micro-batch runs the batch search. A batch writes its
-    own folder and overwrites it when repeated after a failure, so every batch counts once.
+    Ranking needs the whole hit list of a log, so each micro-batch runs the batch search. Hits and history are written per batch
+    id, and a session id follows from batch and log: a batch repeated after a failure overwrites both with the same rows, so every
+    log counts once. ``kb`` as a function is asked again for every batch: articles learned since, and segments added to the
+    index, are found by later batches. The history's time is the log's own ``ts`` where it has one.
     """
 
     def search(batch: DataFrame, batch_id: int) -> None:
-        prepared = with_keywords(preprocess(batch, text)).select("query_id", "keywords", "processed_text")
-        prepared = prepared.persist()
-        try:
-            hits = hybrid_search(prepared, kb, method=method, embed=embed)
-            hits.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            prepared.unpersist()
-
-    return (
-        logs.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+        times = [c for c in ("ts",) if c in batch.columns]
+        prepared = stage(with_keywords(preprocess(batch, text)).select("query_id", "keywords", "processed_text", "original_hash", *times), "arrived")
+        articles = kb() if callable(kb) else kb
+        hits = hybrid_search(prepared, articles, method=method, embed=embed, index=index)
+        folder = f"{path}/batch_id={batch_id}"
+        hits.write.mode("overwrite").parquet(folder)
+        if history is not None:
+            found = batch.sparkSession.read.schema(hits.schema).parquet(folder)
+            rows = _undiagnosed(prepared.join(retrieved_ids(found), "query_id", "left"), batch_id, times)
+            rows.write.mode("overwrite").parquet(f"{history}/batch_id={batch_id}")
+
+    return logs.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERYTHING)).start()
+
+
+def _undiagnosed(logs: DataFrame, batch_id: int, times: list[str]) -> DataFrame:
+    """History rows of logs that were searched for and not diagnosed yet."""
+    empty = {
+        "root_cause": "string", "analysis_process": "string", "solution_steps": "array<string>", "confidence": "double",
+        "model_used": "string", "strategy": "string", "total_tokens": "long", "latency_ms": "long",
+    }
+    for name, kind in empty.items():
+        logs = logs.withColumn(name, F.lit(None).cast(kind))
+    session = stable_session_id(F.col("original_hash"), F.col("query_id").cast("string"), F.lit(batch_id))
+    now = F.col("ts").cast("timestamp") if times else F.lit(None).cast("timestamp")
+    return history_rows(logs, session, now, "query_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens.operators.embedding import hashed_vectors
 from faultlens.operators.history import first_per_day
 from faultlens.operators.hybrid import hybrid_search
+from faultlens.operators.postings import search_index
 from faultlens.operators.preprocess import preprocess, with_keywords
 from faultlens.streaming import logs as st
 
@@ -111,3 +112,36 @@ def test_retrieve_stream_equals_batch_and_repeats_safely(spark, tmp_path):
     assert got == want
     st.stream_retrieve(arriving, kb, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == len(want)
+
+
+def test_retrieve_stream_writes_history_once_and_sees_new_articles(spark, tmp_path):
+    schema = "id long, title string, content string, category string, keywords string, symptoms string"
+    tables = [[(1, "t1", "connection refused by db", "c", "502", "Connection refused")], [(2, "t2", "cpu load", "c", "CPU", "CPU")]]
+    logs = spark.createDataFrame([(i, t, dt.datetime(2024, 1, 1 + i)) for i, t in enumerate(TEXTS[:4])], "query_id long, content string, ts timestamp")
+    source, out, state, history, base = (str(tmp_path / n) for n in ("in", "out", "state", "history", "index"))
+    index = search_index(spark, base, 4)
+
+    def articles():
+        kb = spark.read.parquet(str(tmp_path / "kb"))
+        return kb.join(hashed_vectors(kb.select("id", "content"), "id", "content"), "id")
+
+    def run():
+        arriving = st.arriving(spark, source, logs.schema)
+        st.stream_retrieve(arriving, articles, out, state, history=history, index=index).awaitTermination()
+        hits = spark.read.parquet(out).select("batch_id", "query_id", "hit_rank", "id")
+        return sorted(map(tuple, hits.collect())), sorted(map(str, spark.read.parquet(history).collect()))
+
+    for step, rows in enumerate(tables):
+        new = spark.createDataFrame(rows, schema)
+        new.write.mode("append").parquet(str(tmp_path / "kb"))
+        index.add(new, step)
+        logs.filter(F.col("query_id") % 2 == step).coalesce(1).write.mode("append").parquet(source)
+        hits, kept = run()
+    assert {(h[1], h[3]) for h in hits if h[3] == 2} and all(h[0] == 1 for h in hits if h[3] == 2)
+    rows = spark.read.parquet(history).collect()
+    assert len(rows) == 4 and len({r.session_id for r in rows}) == 4 and {r.created_at.day for r in rows} == {1, 2, 3, 4}
+    first = next(r for r in rows if r.query_id == 2)
+    assert first.retrieved_doc_ids.split(",")[0] == "1" and first.diagnosis_result.root_cause is None
+    for commit in (tmp_path / "state" / "commits").glob("*1*"):  # the last batch once more, as after a failure
+        commit.unlink()
+    assert run() == (hits, kept)
