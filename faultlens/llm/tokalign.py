@@ -73,7 +73,8 @@ def product(left: Csr, right: Csr) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     """
     widths = np.diff(right.indptr)[left.indices]
     work = np.concatenate([[0], np.cumsum(widths)])[left.indptr]
-    for first, last in slices(np.diff(work).tolist(), PRODUCT_ENTRIES):
+    whole = left.n_rows > 0 and work[-1] <= PRODUCT_ENTRIES
+    for first, last in [(0, left.n_rows)] if whole else slices(np.diff(work).tolist(), PRODUCT_ENTRIES):
         start, end = left.indptr[first], left.indptr[last]
         rows = np.repeat(np.repeat(np.arange(first, last), np.diff(left.indptr[first:last + 1])), widths[start:end])
         columns = right.indices[_spread(right.indptr[left.indices[start:end]], widths[start:end])]
@@ -146,14 +147,19 @@ class Pair:
         """Ids of blank + text by both; None without text, or where a tokenizer doesn't keep the bytes."""
         if not blob:
             return None
-        text, want = blob.decode("utf-8", "replace"), b" " + blob
-        if self._ranked is not None:
+        try:
+            text, want = blob.decode(), b" " + blob
+        except UnicodeDecodeError:
+            return None
+        b = self._pieces.encode(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != want:
+            return None
+        if self._ranked is not None:  # merges bytes by rank, so it keeps them
             a = self._ranked.encode_ordinary(" " + text)
         else:
             a = self._merged.encode(" " + text, add_special_tokens=False).ids
-        b = self._pieces.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
-            return None
+            if b"".join(map(self.a_bytes.__getitem__, a)) != want:
+                return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
     def write_groups(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> bytes:
