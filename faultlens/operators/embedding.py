@@ -13,25 +13,20 @@ from faultlens.functions import fixed_values as fv
 from faultlens.functions.text import tokens
 
 DIM = 64
-_HEX = "0123456789abcdef"
 
 
-def _hex_digit(word_hash: Column, pos: int) -> Column:
-    return F.instr(F.lit(_HEX), F.substring(word_hash, pos, 1)) - 1
+def _word_hash(word: Column) -> Column:
+    """The first three hex digits of the word's MD5 as one number."""
+    return F.conv(F.substring(F.md5(word), 1, 3), 16, 10).cast("int")
 
 
-def _signed_bucket(word: Column) -> Column:
-    """1 .. 64, negative where the word counts down."""
-    h = F.md5(word)
-    bucket = (_hex_digit(h, 1) % 4) * 16 + _hex_digit(h, 2) + 1
-    return F.when(_hex_digit(h, 3) < 8, bucket).otherwise(-bucket)
-
-
-def _unit_vectors(buckets: pd.Series) -> pd.Series:
-    rows = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets]
+def _unit_vectors(hashes: pd.Series) -> pd.Series:
+    """The first digit (modulo 4) and the second name a counter, the third says whether the word counts up or down."""
+    rows = [np.asarray(h if h is not None else [], dtype=np.int64) for h in hashes]
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) * DIM + np.abs(flat) - 1
-    sums = np.bincount(at, weights=np.sign(flat), minlength=len(rows) * DIM).reshape(-1, DIM)
+    counter = (flat >> 8) % 4 * 16 + (flat >> 4) % 16
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) * DIM + counter
+    sums = np.bincount(at, weights=np.where(flat % 16 < 8, 1, -1), minlength=len(rows) * DIM).reshape(-1, DIM)
     length = np.sqrt((sums * sums).sum(axis=1))
     return pd.Series([(s / n).astype(np.float32) if n > 0 else None for s, n in zip(sums, length)], dtype=object)
 
@@ -41,7 +36,7 @@ def hashed_vector(text: Column) -> Column:
 
     Words are hashed by built-in functions; one vectorised function per Arrow batch counts and scales. No shuffle.
     """
-    return F.pandas_udf(_unit_vectors, "array<float>")(F.transform(tokens(text), _signed_bucket))
+    return F.pandas_udf(_unit_vectors, "array<float>")(F.transform(tokens(text), _word_hash))
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:

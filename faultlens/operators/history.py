@@ -55,6 +55,35 @@ def hash_lookup(logs: DataFrame, history: DataFrame) -> DataFrame:
     return logs.join(stage(first, "first-diagnoses"), "original_hash", "left")
 
 
+def lookup_within(logs: DataFrame, history: DataFrame, hours: int = 24) -> DataFrame:
+    """Logs with the id and result of the last diagnosis of the same text up to ``hours`` before them (null if none).
+
+    logs(original_hash, ts, ...), history(id, log_hash, created_at, diagnosis_result). Times are cut into hours: a log
+    meets, per earlier hour of its hash, the last diagnosis alone, and within its own hour and the one at the far end all of them up to
+    it. Hash and hour together are the key, so a hash in a third of all logs is spread over its hours. Logs without
+    a time find nothing.
+    """
+    gap, hour = F.expr(f"INTERVAL {hours} HOURS"), lambda c: F.floor(F.unix_seconds(c) / 3600)
+    times = history.filter("created_at IS NOT NULL").select(
+        F.col("log_hash").alias("original_hash"), F.col("created_at").cast("timestamp").alias("at"), "id", "diagnosis_result"
+    ).withColumn("h", hour(F.col("at")))
+    asked = logs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ts", F.col("ts").cast("timestamp"))
+    asked = stage(asked.withColumn("_hour", hour(F.col("_ts"))), "timed-logs")
+    keys = asked.filter("_ts IS NOT NULL").select("original_hash", "_hour", "_ts").distinct()
+    # whole hours in between: the last diagnosis of each, offered to the later hours it can serve; the latest offer counts
+    offered = times.groupBy("original_hash", "h").agg(F.max(F.struct("at", "id", "diagnosis_result")).alias("d"))
+    offered = offered.withColumn("_hour", F.explode(F.sequence(F.col("h") + 1, F.col("h") + hours - 1))) if hours > 1 else offered.limit(0).withColumn("_hour", F.col("h"))
+    between = offered.groupBy("original_hash", "_hour").agg(F.max("d").alias("d"))
+    # the hours at both ends: every diagnosis, compared by time
+    ends = times.withColumn("_hour", F.explode(F.array(F.col("h"), F.col("h") + hours)))
+    edge = keys.join(ends, ["original_hash", "_hour"]).filter((F.col("at") <= F.col("_ts")) & (F.col("at") >= F.col("_ts") - gap))
+    edge = edge.groupBy("original_hash", "_ts").agg(F.max(F.struct("at", "id", "diagnosis_result")).alias("d"))
+    wide = keys.join(between, ["original_hash", "_hour"]).select("original_hash", "_ts", "d")
+    best = wide.unionByName(edge).groupBy("original_hash", "_ts").agg(F.max("d").alias("d"))
+    found = stage(best.select("original_hash", "_ts", F.col("d.id").alias("history_id"), F.col("d.diagnosis_result").alias("cached_result")), "last-diagnoses")
+    return asked.join(found, ["original_hash", "_ts"], "left").drop("_row", "_ts", "_hour")
+
+
 def new_logs(logs: DataFrame, history: DataFrame) -> DataFrame:
     return logs.join(history.select(F.col("log_hash").alias("original_hash")), "original_hash", "left_anti")
 

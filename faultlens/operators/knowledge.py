@@ -55,6 +55,26 @@ def kb_page(kb: DataFrame, keyword: str = "", page: int = 1, size: int = 20) ->
     return page_of(found, [F.desc("id")], page, size), found.agg(F.count(F.lit(1)).alias("total"))
 
 
+def page_after(df: DataFrame, order: list[str], after: tuple | None = None, size: int = 20) -> DataFrame:
+    """The next rows in descending ``order`` (columns that tell rows apart, without nulls) after the last row of a page.
+
+    ``after`` are that row's values, None for the first page. No row before the cursor is sorted: the filter on the
+    first column reaches the scan, where sorted files (``write_pages``) are skipped by their least and greatest values, and every task
+    sends ``size`` rows at most.
+    """
+    _, size = clamp_page(1, size)
+    if after is not None:
+        first, cursor = F.lit(after[0]), F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after)])
+        df = df.filter((F.col(order[0]) <= first.cast(df.schema[order[0]].dataType)) & (F.struct(*order) < cursor))
+    return df.orderBy(*[F.desc(c) for c in order]).limit(size)
+
+
+def write_pages(df: DataFrame, order: list[str], path: str, rows_per_file: int = 1_000_000) -> None:
+    """Writes the table in ranges of ``order``, newest first, as ``page_after`` reads it."""
+    descending = [F.desc(c) for c in order]
+    df.repartitionByRange(*descending).sortWithinPartitions(*descending).write.option("maxRecordsPerFile", rows_per_file).mode("errorifexists").parquet(path)
+
+
 def kb_missing_embedding(kb: DataFrame) -> DataFrame:
     return kb.filter(F.col("embedding").isNull())
 
@@ -191,12 +211,19 @@ def articles_from_cases(cases: DataFrame) -> DataFrame:
     )
 
 
+def _text_key() -> Column:
+    return F.sha2(F.concat_ws("\x01", "title", "content"), 256)
+
+
+def not_in_table(articles: DataFrame, kb: DataFrame) -> DataFrame:
+    """Articles whose title and content no row of the table has."""
+    return articles.withColumn("_key", _text_key()).join(kb.select(_text_key().alias("_key")), "_key", "left_anti").drop("_key")
+
+
 def kb_seed(kb: DataFrame, cases: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
     """Fills the table from cases. Articles already there (same title and content) are not added twice, and
     their missing vectors are filled in."""
-    text_key = F.sha2(F.concat_ws("\x01", "title", "content"), 256)
-    fresh = articles_from_cases(cases).withColumn("_key", text_key).dropDuplicates(["_key"])
-    fresh = fresh.join(kb.select(text_key.alias("_key")), "_key", "left_anti").drop("_key")
+    fresh = not_in_table(articles_from_cases(cases).withColumn("_key", _text_key()).dropDuplicates(["_key"]).drop("_key"), kb)
     return kb_insert(kb_backfill(kb, embed), fresh, embed, now)
 
 
@@ -217,5 +244,12 @@ def articles_from_diagnoses(diagnoses: DataFrame) -> DataFrame:
     return one.select("a.*")
 
 
-def auto_learn(kb: DataFrame, diagnoses: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
-    return kb_insert(kb, articles_from_diagnoses(diagnoses), embed, now)
+def auto_learn(
+    kb: DataFrame, diagnoses: DataFrame, embed=hashed_vectors, now: Column | None = None, learned: DataFrame | None = None
+) -> DataFrame:
+    """New table state with what the diagnoses teach. What the table holds already is not learned again, nor are logs with a
+    fingerprint in learned(log_hash), so a run over the same misses adds nothing."""
+    if learned is not None:
+        known = learned.select(F.col("log_hash").alias("original_hash"))
+        diagnoses = diagnoses.join(known, "original_hash", "left_anti")
+    return kb_insert(kb, not_in_table(articles_from_diagnoses(diagnoses), kb), embed, now)

@@ -14,7 +14,7 @@ from faultlens.functions.prompts import pick_strategy
 from faultlens.functions.text import log_fingerprint, token_estimate, whole_div
 from faultlens.operators import knowledge as kn
 from faultlens.operators.hybrid import hybrid_search, retrieved_ids
-from faultlens.operators.inference import model_answers, recorded_answers
+from faultlens.operators.inference import answers_kept, model_answers, recorded_answers
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot
 from faultlens.plans.catalog import sql as s
 from faultlens.plans.catalog.knowledge import NOW, _now, _embedded, _table, _state
@@ -85,6 +85,15 @@ def llm_answers(spark, d):
     return done.select("query_id", "raw_content", "error", "model_used", "total_tokens")
 
 
+def llm_answers_kept(spark, d):
+    """First a third of the prompts, then all of them: the second run asks only what has no answer yet."""
+    prompts, store = stage(_direct_prompts(spark, d), "direct-prompts"), work_path(spark, "answer-store")
+    options = {"waits": (0, 0, 0), "per_task": 50}
+    answers_kept(prompts.filter("query_id % 3 = 0"), ["query_id"], _offline_client, store, **options)
+    done = answers_kept(prompts, ["query_id"], _offline_client, store, **options)
+    return done.select("query_id", "raw_content", "error", "model_used", "total_tokens")
+
+
 def _turns(spark, d):
     """The assistant turns of a conversation, in order."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "raw_content")))
@@ -191,6 +200,7 @@ QUERIES = {
     "miss_to_cot": miss_to_cot_query,
     "assemble_prompt": assemble_prompt_query,
     "llm_answers": llm_answers,
+    "llm_answers_kept": llm_answers_kept,
     "recorded_answers": recorded_answers_query,
     "diagnose_batch": diagnose_batch_query,
     "diagnose_bad_answers": diagnose_bad,
@@ -292,3 +302,4 @@ UNION ALL SELECT p.log_id, original_hash, 'cache', m.strategy, NULL, NULL, NULL,
   CAST(CASE WHEN turns IS NULL THEN 0 ELSE log_id // 4 + 1000 END AS BIGINT) AS latency_ms
 FROM prompts p LEFT JOIN turns f ON f.conv_id = p.log_id // 4""",
 }
+ORACLE["llm_answers_kept"] = ORACLE["llm_answers"]

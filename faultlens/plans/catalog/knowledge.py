@@ -13,6 +13,7 @@ from faultlens.operators import embedding as emb, history as hist, knowledge as
 from faultlens.plans.catalog import sql as s
 from faultlens.session import work_path
 from faultlens.sources import files, views
+from faultlens.sources.stage import stage
 
 NOW = "2024-02-01 00:00:00"
 
@@ -196,6 +197,29 @@ def hash_lookup(spark, d):
     return found.select("doc_id", "history_id", F.col("cached_result.root_cause").alias("cached_cause"))
 
 
+def hash_lookup_24h(spark, d):
+    """Event lines looked up among the diagnoses, at most a day old, of every fifth line."""
+    body = mask(F.substring("line", 21, 1 << 30))
+    lines = stage(views.event_lines(views.table(spark, d, "events")).select(F.sha2(body, 256).alias("original_hash"), "ts", "event_id"), "lines")
+    known = lines.filter("event_id % 5 = 0").select(
+        F.col("event_id").alias("id"), F.col("original_hash").alias("log_hash"), F.col("ts").alias("created_at"),
+        views.fault(F.col("event_id")).alias("diagnosis_result"),
+    )
+    return hist.lookup_within(lines, known).select("event_id", "history_id", "cached_result")
+
+
+def kb_page_keyset(spark, d):
+    """The second and third page of history, each from the last row of the page before."""
+    order, rows = ["created_at", "id"], views.history(spark, d).select("created_at", "id")
+    after, parts = None, []
+    for name in ("page1", "page2", "page3"):
+        page = stage(kn.page_after(rows, order, after, 15).withColumn("part", F.lit(name)), "history-page")
+        last = page.orderBy("created_at", "id").first()
+        after = after if last is None else (last["created_at"], last["id"])
+        parts.append(page.select("part", "id"))
+    return parts[1].unionByName(parts[2])
+
+
 def diagnosis_json(spark, d):
     from faultlens.functions.answers import diagnosis_from_json, diagnosis_to_json
 
@@ -261,6 +285,8 @@ QUERIES = {
     "history_by_session": history_by_session,
     "history_page": history_page,
     "hash_lookup": hash_lookup,
+    "hash_lookup_24h": hash_lookup_24h,
+    "kb_page_keyset": kb_page_keyset,
     "diagnosis_json": diagnosis_json,
     "dedup_24h": dedup_24h,
     "infer_category": infer_category,
@@ -373,6 +399,13 @@ known AS (SELECT * FROM history WHERE id IN (SELECT doc_id FROM labels)),
 firsts AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY log_hash ORDER BY id) = 1)""")
     + """SELECT d.doc_id, f.id AS history_id, f.root_cause AS cached_cause
 FROM documents d LEFT JOIN firsts f ON f.log_hash = sha256(d.text)""",
+    "hash_lookup_24h": _W(s.LINES, f"""
+h AS (SELECT sha256({s.mask('substr(line, 21)')}) AS log_hash, ts, event_id FROM lines)""") + f"""
+SELECT h.event_id, k.event_id AS history_id, CASE WHEN k.event_id IS NOT NULL THEN {s.fault('k.event_id')} END AS cached_result
+FROM h LEFT JOIN (SELECT * FROM h WHERE event_id % 5 = 0) k ON k.log_hash = h.log_hash AND k.ts <= h.ts AND k.ts >= h.ts - INTERVAL 24 HOURS
+QUALIFY row_number() OVER (PARTITION BY h.event_id ORDER BY k.ts DESC, k.event_id DESC) = 1""",
+    "kb_page_keyset": _W(s.HISTORY) + """SELECT CASE WHEN r <= 30 THEN 'page2' ELSE 'page3' END AS part, id FROM (
+  SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r FROM history) WHERE r > 15 AND r <= 45""",
     "diagnosis_json": _W(s.HISTORY) + """SELECT id, root_cause, analysis_process,
   array_to_string(solution_steps, '|') AS steps, confidence FROM history""",
     "dedup_24h": _W(s.LINES, f"""

@@ -10,9 +10,10 @@ from faultlens.functions import fixed_values as fv
 from faultlens.functions.answers import answer_fields, parse_answers
 from faultlens.functions.prompts import pick_strategy
 from faultlens.operators.embedding import hashed_vectors
-from faultlens.operators.history import hash_lookup, history_rows, stable_session_id
+from faultlens.operators.history import hash_lookup, history_rows, lookup_within, stable_session_id
 from faultlens.operators.hybrid import hybrid_search, retrieved_ids
 from faultlens.operators.knowledge import auto_learn, number_rows
+from faultlens.operators.postings import SearchIndex
 from faultlens.operators.preprocess import preprocess, with_keywords
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot, pack_articles
 from faultlens.sources.stage import stage
@@ -34,10 +35,11 @@ def build_prompts(
     threshold: float = fv.SCORE_THRESHOLD,
     method: str = "fused",
     embed=hashed_vectors,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Prepared logs(query_id, strategy, use_rag, processed_text, keywords) with hits and prompts."""
     asked = logs.filter("use_rag").select("query_id", "keywords", "processed_text")
-    hits = stage(hybrid_search(asked, kb, k, threshold, method, embed), "hits")
+    hits = stage(hybrid_search(asked, kb, k, threshold, method, embed, index=index), "hits")
     with_hits = logs.join(retrieved_ids(hits), "query_id", "left").join(pack_articles(hits, kb), "query_id", "left")
     chosen = miss_to_cot(with_hits.withColumn("strategy", pick_strategy(F.col("strategy"))))
     return assemble_prompt(chosen.withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))).drop("articles")
@@ -52,17 +54,23 @@ def diagnose_batch(
     max_tokens: int = fv.MAX_TOKENS,
     method: str = "fused",
     embed=hashed_vectors,
+    cache_hours: int | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """logs(query_id, content, strategy, use_rag) -> one row per log with its outcome.
 
+    With ``cache_hours`` only diagnoses so many hours before a log's ``ts`` answer it (history with ``created_at``). Logs with equal
+    prompts cost one request if ``answer`` asks by prompt (``answers_kept``). ``index`` holds the articles' words.
+
     ``status`` is cache (same text diagnosed before), ok, bad (no root cause in the answer) or error (no
     answer). Rows with status ok feed ``history_rows`` and ``articles_from_diagnoses``. The answers are
     written before anything reads them, so no model is asked twice.
     """
-    looked_up = hash_lookup(prepare_logs(logs, text, max_tokens), history)
+    ready = prepare_logs(logs, text, max_tokens)
+    looked_up = hash_lookup(ready, history) if cache_hours is None else lookup_within(ready, history, cache_hours)
     prepared = stage(looked_up, "looked_up")
     fresh = prepared.filter("history_id IS NULL").drop("history_id", "cached_result")
-    prompts = stage(build_prompts(fresh, kb, method=method, embed=embed), "prompts")
+    prompts = stage(build_prompts(fresh, kb, method=method, embed=embed, index=index), "prompts")
     answers = stage(answer(prompts), "answers")
 
     context = prompts.select(

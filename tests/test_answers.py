@@ -1,5 +1,10 @@
 """Answer parsing, prompts, model hooks and the whole diagnosis."""
 
+import time
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -9,7 +14,7 @@ from faultlens.functions.answers import DIAGNOSIS
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.prompts import ARTICLES_TITLE, EXAMPLES, STEPS, pick_strategy
 from faultlens.operators.history import history_rows
-from faultlens.operators.inference import model_answers, recorded_answers
+from faultlens.operators.inference import _Pace, answers_kept, model_answers, recorded_answers, stored_answers
 from faultlens.operators.prompting import assemble_prompt, miss_to_cot
 from faultlens.plans.diagnose import bad_answers, diagnose_and_store, diagnose_batch
 from faultlens.plans.experiment import run_experiment
@@ -96,6 +101,66 @@ def test_model_hook_retries_and_reports_errors(spark):
     assert [r.error for r in rows] == [None, None, "no answer after 3 attempts"] and rows[0].total_tokens == 11
 
 
+def _counting(folder, breaks=None):
+    """A client that notes each request in the folder; at the prompt ``breaks`` the whole task dies."""
+
+    def factory():
+        def client(request):
+            user = request["messages"][1]["content"]
+            with open(f"{folder}/calls", "a") as f:
+                f.write(user + "\n")
+            if user == breaks:
+                raise SystemExit("killed")
+            if user == "never":
+                raise RuntimeError("busy")
+            return f"answer to {user}", 7
+
+        return client
+
+    return factory
+
+
+def _calls(folder):
+    return Counter((folder / "calls").read_text().split("\n")[:-1]) if (folder / "calls").exists() else Counter()
+
+
+def test_kept_answers_are_asked_once(spark, tmp_path):
+    rows = [(i, "s", f"u{i % 30}") for i in range(200)] + [(500, "s", "never"), (501, None, None)]
+    prompts = spark.createDataFrame(rows, "query_id int, system_prompt string, user_prompt string").repartition(6)
+    options = {"waits": (0, 0), "per_task": 4, "in_flight": 3}
+    run = lambda **more: {
+        r.query_id: (r.raw_content, r.error) for r in answers_kept(prompts, ["query_id"], _counting(tmp_path), str(tmp_path / "store"), **options, **more).collect()}
+    first = run()
+    assert first[0] == ("answer to u0", None) == first[30] and first[500] == (None, "no answer after 2 attempts") and len(first) == 202
+    once = _calls(tmp_path)
+    assert all(once[f"u{i}"] == 1 for i in range(30)) and once["never"] == 2
+    assert run() == first
+    assert _calls(tmp_path) - once == Counter({"never": 2})  # only what had no answer
+    run(temperature=0.9)  # other settings are another question
+    assert _calls(tmp_path)["u3"] == 2
+
+
+def test_a_killed_run_keeps_the_answers_of_finished_tasks(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, "s", f"u{i}") for i in range(60)], "query_id int, system_prompt string, user_prompt string")
+    options = {"waits": (0,), "per_task": 3, "in_flight": 1}
+    with pytest.raises(Exception):
+        answers_kept(prompts, ["query_id"], _counting(tmp_path, "u7"), str(tmp_path / "store"), **options).count()
+    kept = {r.prompt_hash for r in stored_answers(spark, str(tmp_path / "store")).collect()}
+    before = _calls(tmp_path)
+    assert kept and before["u7"] >= 1
+    done = answers_kept(prompts, ["query_id"], _counting(tmp_path), str(tmp_path / "store"), **options).collect()
+    assert len(done) == 60 and all(r.error is None for r in done)
+    again = _calls(tmp_path) - before
+    assert len(again) == 60 - len(kept) and set(again.values()) == {1}
+
+
+def test_pace_of_requests():
+    pace, start = _Pace(200), time.monotonic()
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda _: pace.wait(), range(21)))
+    assert time.monotonic() - start >= 0.1
+
+
 def test_recorded_answers(spark):
     prompts = spark.createDataFrame([(1, "u1"), (2, "u2")], "query_id int, user_prompt string")
     record = prompts.filter("query_id = 1").select(F.sha2("user_prompt", 256).alias("prompt_hash"), F.lit("{}").alias("raw_content"),

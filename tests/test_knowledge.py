@@ -100,6 +100,11 @@ def test_auto_learn(spark):
     row = after.filter("id = 4").first()
     assert row.title == ("cause " * 30)[:80] + "..." and row.keywords == "CPU"
     assert row.content.endswith("【修复步骤】\n1. s1\n2. s2\n")
+    # the same misses again teach nothing, nor do logs that were learned from before
+    again = kn.auto_learn(after, diagnoses, now=now())
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in after.collect())
+    learned = spark.createDataFrame([("h1",)], "log_hash string")
+    assert kn.auto_learn(base(spark), diagnoses, now=now(), learned=learned).count() == 3
 
 
 def test_search_and_pages(spark):
@@ -113,6 +118,25 @@ def test_search_and_pages(spark):
     assert kn.kb_page(kb, "", page=9, size=100)[0].count() == 0
 
 
+def test_keyset_pages_equal_offset_pages(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(hours=i * 7 % 11), "x") for i in range(137)]  # many rows of one time
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, v string")
+    kn.write_pages(df.repartition(5), ["created_at", "id"], str(tmp_path / "pages"), rows_per_file=10)
+    kept, after, got = spark.read.parquet(str(tmp_path / "pages")), None, []
+    while True:
+        page = kn.page_after(kept, ["created_at", "id"], after, 20).collect()
+        if not page:
+            break
+        got.append([r.id for r in page])
+        after = (page[-1].created_at, page[-1].id)
+    order = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    assert [i for page in got for i in page] == [r[0] for r in order] and [len(p) for p in got] == [20] * 6 + [17]
+    later = kn.page_after(kept, ["created_at", "id"], (T0 + dt.timedelta(hours=2), 50), 20)
+    plan = later._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(created_at" in plan and "TakeOrderedAndProject" in plan
+    assert kn.page_after(kept, ["created_at", "id"], (T0 - dt.timedelta(days=1), 0)).count() == 0
+
+
 def test_feedback(spark):
     rows = spark.createDataFrame([("s", 1, "ok"), ("s", 0, None), ("s", 2, ""), ("", 1, ""), (None, 1, "")],
                                  "session_id string, feedback int, user_comment string")
@@ -130,6 +154,27 @@ def test_hash_lookup(spark):
     assert [r.log_id for r in hist.new_logs(logs, history).collect()] == [2]
 
 
+def test_lookup_within_a_day(spark):
+    import random
+
+    rng = random.Random(3)
+    name = lambda: "hot" if rng.random() < 0.4 else f"h{rng.randrange(15)}"
+    at = lambda: T0 + dt.timedelta(minutes=rng.randrange(60 * 90))
+    logs = [(i, name(), at()) for i in range(400)] + [(900, "edge", T0 + dt.timedelta(hours=24)), (901, "edge", T0 + dt.timedelta(hours=24, seconds=1)),
+            (902, None, T0), (903, "edge", None), (904, "edge", T0), (905, "edge", T0 - dt.timedelta(seconds=1))]
+    known = [(i, name(), at(), f"d{i}") for i in range(120)] + [(500, "edge", T0, "d500"), (501, "edge", None, "x"), (502, None, T0, "x")]
+    history = spark.createDataFrame(known, "id long, log_hash string, created_at timestamp, diagnosis_result string")
+    for hours in (24, 5, 1):
+        got = {r.log_id: (r.history_id, r.cached_result) for r in hist.lookup_within(
+            spark.createDataFrame(logs, "log_id long, original_hash string, ts timestamp"), history, hours).collect()}
+        want = {}
+        for i, h, t in logs:
+            near = [(at, k, d) for k, g, at, d in known if None not in (h, t, at) and g == h and dt.timedelta() <= t - at <= dt.timedelta(hours=hours)]
+            want[i] = max(near)[1:] if near else (None, None)
+        assert got == want
+    assert got[900] == (None, None)
+
+
 def test_first_per_day_matches_brute_force(spark):
     import random
 
