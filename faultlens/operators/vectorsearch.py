@@ -8,6 +8,7 @@ passes through the driver.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -21,6 +22,9 @@ ARTICLE_BLOCK = 8192
 QUERY_BLOCK = 4096
 CELL_ROWS = 2048
 PROBED = 0.8  # share of the cells that a query visits
+MAX_CELLS = 4096
+SAMPLE = 20_000
+_MARGIN = 1e-6  # rounding of angles
 DIGITS = 6
 _SLICE = 1024
 
@@ -141,6 +145,29 @@ def _nearest_cells(vectors: pd.Series, planes: np.ndarray, n_probe: int) -> pd.S
     return pd.Series(out)
 
 
+def _cell_product(homes: DataFrame, visits: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """Best k per query and cell of homes(id, vec, cell) for visits(query_id, vec, cell); crowded cells are cut into parts."""
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(name))
+
+    # one row per cell that has both sides
+    layout = parts(homes, "n_article").join(parts(visits, "n_query"), "cell")
+    left = (
+        visits.join(layout, "cell")
+        .withColumn("q_part", _part_of("query_id", F.col("n_query")))
+        .withColumn("a_part", F.explode(F.sequence(F.lit(0), F.col("n_article") - 1)))
+        .select("query_id", "vec", "cell", "q_part", "a_part")
+    )
+    right = (
+        homes.join(layout, "cell")
+        .withColumn("a_part", _part_of("id", F.col("n_article")))
+        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
+        .select("id", "vec", "cell", "q_part", "a_part")
+    )
+    return _block_product(left, right, ["cell", "q_part", "a_part"], k)
+
+
 def vector_topk_ann(
     queries: DataFrame,
     articles: DataFrame,
@@ -180,31 +207,148 @@ def vector_topk_ann(
     # written: the layout and the join both read them
     homes = stage(articles.withColumn("cell", F.element_at(cells(1)("vec"), 1)), "homes")
     visits = stage(queries.withColumn("cell", F.explode(cells(n_probe)("vec"))), "visits")
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(name))
-
-    # one row per cell that has both sides; at most 2**n_bits rows
-    layout = parts(homes, "n_article").join(parts(visits, "n_query"), "cell")
-    left = (
-        visits.join(layout, "cell")
-        .withColumn("q_part", _part_of("query_id", F.col("n_query")))
-        .withColumn("a_part", F.explode(F.sequence(F.lit(0), F.col("n_article") - 1)))
-        .select("query_id", "vec", "cell", "q_part", "a_part")
-    )
-    right = (
-        homes.join(layout, "cell")
-        .withColumn("a_part", _part_of("id", F.col("n_article")))
-        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
-        .select("id", "vec", "cell", "q_part", "a_part")
-    )
-    found = stage(_merge(_block_product(left, right, ["cell", "q_part", "a_part"], k), k), "cell-hits")
+    found = stage(_merge(_cell_product(homes, visits, k, cell_rows), k), "cell-hits")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
     short = stage(queries.join(full, "query_id", "left_anti"), "short-queries")
     rest = vector_topk(short, articles, k, "vec", n_articles=n_articles)
     return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
 
 
+def learned_centres(articles: DataFrame, n_cells: int, n_articles: int, sample: int = SAMPLE, rounds: int = 10) -> np.ndarray:
+    """Unit centres of ``n_cells`` groups of directions at most, from ``sample`` of the articles(id, vec) at most, chosen by hash."""
+    share = min(1.0, 1.2 * sample / max(1, n_articles))
+    chosen = articles.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).toPandas()
+    units = _unit(chosen["vec"]) if len(chosen) else np.empty((0, 0))
+    units = np.unique(np.round(units[(units * units).sum(axis=1) > 0], 9), axis=0)
+    if not len(units):
+        return units
+    centres = units[np.random.default_rng(5).permutation(len(units))[:n_cells]]
+    for _ in range(rounds):
+        home = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, units)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), centres)
+    return centres
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Groups of articles round learned centres: the largest angle to a member and the number of members of each.
+
+    The last cell, without a centre, holds the vectors of length zero; they are similar to nothing.
+    """
+
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+    def angles(self, units: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(units @ self.centres.T, -1.0, 1.0)) if len(self.centres) else np.empty((len(units), 0))
+
+    def home(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angles, zero = self.angles(units), (units * units).sum(axis=1) == 0
+        if not len(self.centres):
+            return np.zeros(len(units), np.int64), np.zeros(len(units))
+        cell = np.where(zero, len(self.centres), angles.argmin(axis=1))
+        return cell, np.where(zero, 0.0, angles.min(axis=1))
+
+    def nearest(self, units: np.ndarray, k: int) -> np.ndarray:
+        """Cells in order of their angle, as many as hold k members (all, where there are not so many), as a mask."""
+        order = np.argsort(np.concatenate([self.angles(units), np.full((len(units), 1), 4.0)], axis=1), axis=1, kind="stable")
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        mask = np.zeros(order.shape, bool)
+        np.put_along_axis(mask, order, before < k, axis=1)
+        return mask & (self.size > 0)
+
+    def bounds(self, units: np.ndarray) -> np.ndarray:
+        """No member of the cell is more similar to the vector than this."""
+        least = np.maximum(self.angles(units) - self.radius[:-1] - _MARGIN, 0.0)
+        zero = (units * units).sum(axis=1) == 0
+        return np.concatenate([np.where(zero[:, None], 0.0, np.cos(least)), np.zeros((len(units), 1))], axis=1)
+
+
+def _settle(articles: DataFrame, n_cells: int, n_articles: int) -> tuple[DataFrame, Cells]:
+    """Articles with their cell, and the cells."""
+    centres = learned_centres(articles, n_cells, n_articles)
+    empty = Cells(centres, np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, np.int64))
+
+    @F.pandas_udf("cell int, angle double")
+    def home(vectors: pd.Series) -> pd.DataFrame:
+        cell, angle = empty.home(_unit(vectors))
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
+
+    homes = stage(articles.withColumn("h", home("vec")).select("id", "vec", "h.cell", "h.angle"), "settled")
+    radius, size = empty.radius.copy(), empty.size.copy()
+    for row in homes.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # a row per cell
+        radius[row["cell"]], size[row["cell"]] = row["angle"], row["n"]
+    return homes.drop("angle"), Cells(centres, radius, size)
+
+
+def _cells_where(rule):
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series, least: pd.Series) -> pd.Series:
+        out = []
+        for start in range(0, len(vectors), _SLICE):
+            units = _unit(vectors.iloc[start:start + _SLICE])
+            mask = rule(units, least.iloc[start:start + _SLICE].to_numpy(dtype=np.float64))
+            out.extend(np.flatnonzero(row).astype(np.int32) for row in mask)
+        return pd.Series(out, dtype=object)
+
+    return cells
+
+
+def _bounded(queries, articles, k, vector, dim, n_cells, slack, cell_rows, n_queries, n_articles):
+    """Hits, and visits(query_id, cell) of both rounds with the sizes of the cells."""
+    articles, queries = _clean(articles, "id", vector, dim), stage(_clean(queries, "query_id", vector, dim), "bounded-queries")
+    n_articles = articles.count() if n_articles is None else n_articles
+    n_cells = n_cells or min(MAX_CELLS, max(1, math.isqrt(n_articles)))
+    homes, cells = _settle(articles, n_cells, n_articles)
+    first = _cells_where(lambda units, least: cells.nearest(units, k))
+    visits = stage(queries.withColumn("cell", F.explode(first("vec", F.lit(0.0)))), "first-visits")
+    found = stage(_merge(_cell_product(homes, visits, k, cell_rows), k).drop("rank"), "first-hits")
+    least = found.groupBy("query_id").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("n"))
+
+    def beating(units, least):
+        return (cells.bounds(units) - slack + 10.0**-DIGITS >= least[:, None]) & ~cells.nearest(units, k) & (cells.size > 0)
+
+    bound = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0))
+    asked = queries.join(least, "query_id").withColumn("least", bound)
+    more = stage(asked.withColumn("cell", F.explode(_cells_where(beating)("vec", "least"))).select("query_id", "vec", "cell"), "further-visits")
+    hits = _merge(found.unionByName(_cell_product(homes, more, k, cell_rows)), k)
+    return hits, visits.select("query_id", "cell").unionByName(more.select("query_id", "cell")), cells.size
+
+
+def vector_topk_bounded(
+    queries: DataFrame, articles: DataFrame, k: int = fv.TOP_K, vector: str = "embedding", dim: int | None = None, n_cells: int | None = None,
+    slack: float = 0.0, cell_rows: int = CELL_ROWS, n_queries: int | None = None, n_articles: int | None = None,
+) -> DataFrame:
+    """The rows of ``vector_topk`` without meeting every article: (query_id, id, similarity, rank).
+
+    Articles are grouped round learned centres; a centre and the largest angle to it bound the similarity of all its articles
+    to a query. First a query visits the nearest cells that hold k articles, whose k-th hit is the least it
+    must beat, then the cells whose bound reaches that. Centres come from ``SAMPLE`` vectors at most and decide only which
+    cells are visited. There are as many as the square root of the articles, ``MAX_CELLS`` at most; their sizes and angles are
+    all that reaches the driver. ``slack`` makes it approximate: cells must beat the k-th hit by so much. Query ids must differ.
+    """
+    return _bounded(queries, articles, k, vector, dim, n_cells, slack, cell_rows, n_queries, n_articles)[0]
+
+
+def vector_visits(
+    queries: DataFrame, articles: DataFrame, k: int = fv.TOP_K, vector: str = "embedding", dim: int | None = None, n_cells: int | None = None,
+    slack: float = 0.0, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """(n_queries, n_cells, n_compared, share): how many of all pairs ``vector_topk_bounded`` compares."""
+    _, visits, size = _bounded(queries, articles, k, vector, dim, n_cells, slack, cell_rows, None, None)
+    spark = queries.sparkSession
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(size)], "cell int, n long")
+    n_queries = F.count_distinct("query_id")
+    return visits.join(F.broadcast(sizes), "cell").agg(  # a row per cell
+        n_queries.alias("n_queries"), F.lit(int((size > 0).sum())).alias("n_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_compared"),
+        F.coalesce(F.try_divide(F.sum("n").cast("double"), n_queries * F.lit(int(size.sum()))), F.lit(0.0)).alias("share"),
+    )
+
+
 def vector_rank(hits: DataFrame) -> DataFrame:
     """Drops hits without positive similarity and numbers the rest 1..n per query: adds vec_rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

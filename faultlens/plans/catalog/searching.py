@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -135,7 +136,23 @@ def vector_topk(spark, d):
 
 
 def vector_topk_ann(spark, d):
-    return vs.vector_topk_ann(*_vectors(spark, d), n_bits=_ANN_BITS, n_probe=_ANN_PROBES)
+    return vs.vector_topk_ann(*_vectors(spark, d), n_bits=_ANN_BITS)
+
+
+def vector_topk_bounded(spark, d):
+    return vs.vector_topk_bounded(*_vectors(spark, d))
+
+
+def vector_visits(spark, d):
+    """Pairs compared by the bounded search, exact and with slack, and the share of the neighbours found with it."""
+    queries, articles = _vectors(spark, d)
+    exact = vs.vector_topk(queries, articles).select("query_id", "id")
+    parts = []
+    for slack in (0.0, 0.3):
+        found = vs.vector_topk_bounded(queries, articles, slack=slack).select("query_id", "id", F.lit(1).alias("hit"))
+        recall = exact.join(found, ["query_id", "id"], "left").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+        parts.append(vs.vector_visits(queries, articles, slack=slack).crossJoin(recall).withColumn("slack", F.lit(slack)))  # one row each
+    return parts[0].unionByName(parts[1])
 
 
 def vector_ann_recall(spark, d):
@@ -230,6 +247,8 @@ QUERIES = {
     "like_distinct": like_distinct,
     "vector_topk": vector_topk,
     "vector_topk_ann": vector_topk_ann,
+    "vector_topk_bounded": vector_topk_bounded,
+    "vector_visits": vector_visits,
     "vector_ann_recall": vector_ann_recall,
     "vector_rank": vector_rank,
     "cosine_similarity": cosine_query,
@@ -251,19 +270,20 @@ _P = [s.LOGS, s.KB, s.prepared()]
 _LIVE = "live AS (SELECT * FROM kb WHERE id % 50 <> 49)"
 _OPEN = "asked AS (SELECT item_id, [regexp_extract(lower(text), '[a-z]{4,}'), 'timeout', 'of'] AS keywords FROM benchmark)"
 _BENCH = [s.KB, s.fts("benchmark", "item_id", "text")]
-_ANN_BITS = _ANN_PROBES = 3
+_ANN_BITS = 3
 _RECALL_BITS = (3, 6, 8)
+_VISITED = math.ceil(vs.PROBED * 2**_ANN_BITS)
 _PLANES = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for i, plane in enumerate(vs.hyperplanes(_ANN_BITS, 64)))
-_ANN = [f"planes(p, plane) AS (VALUES {_PLANES})", """
+_ANN = [f"planes(p, plane) AS (VALUES {_PLANES})", f"""
 margins AS (
-  SELECT vec_id, p, list_inner_product(CAST(embedding AS DOUBLE[]), plane) AS m FROM embeddings, planes WHERE embedding IS NOT NULL),
+  SELECT vec_id, p, list_inner_product(CAST(embedding AS DOUBLE[]), plane) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS m
+  FROM embeddings, planes WHERE embedding IS NOT NULL),
 homes AS (SELECT vec_id, CAST(sum(CASE WHEN m > 0 THEN 1 << p ELSE 0 END) AS BIGINT) AS cell FROM margins GROUP BY vec_id),
 across AS (
-  SELECT vec_id, p FROM margins
-  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(m), p) < """ + str(_ANN_PROBES) + """),
-visits AS (
-  SELECT vec_id, cell FROM homes
-  UNION ALL SELECT h.vec_id, xor(h.cell, CAST(1 << a.p AS BIGINT)) FROM homes h JOIN across a ON a.vec_id = h.vec_id)""",
+  SELECT vec_id, crossed FROM (
+    SELECT vec_id, crossed, sum(CASE WHEN (crossed >> p) & 1 = 1 THEN m * m ELSE 0 END) AS far FROM margins, range({2**_ANN_BITS}) r(crossed) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, crossed) <= {_VISITED}),
+visits AS (SELECT h.vec_id, xor(h.cell, a.crossed) AS cell FROM homes h JOIN across a ON a.vec_id = h.vec_id)""",
     s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near", where="""EXISTS (
     SELECT 1 FROM visits v JOIN homes h ON h.cell = v.cell WHERE v.vec_id = q.vec_id AND h.vec_id = a.vec_id)"""),
     s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "exact"), f"""
@@ -292,6 +312,8 @@ ORACLE = {
     "vector_topk": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))
     + "SELECT qid AS query_id, id, similarity, CAST(rank AS INT) AS rank FROM near",
     "vector_topk_ann": _W(*_ANN) + "SELECT qid AS query_id, id, similarity, CAST(rank AS INT) AS rank FROM ann",
+    "vector_topk_bounded": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))
+    + "SELECT qid AS query_id, id, similarity, CAST(rank AS INT) AS rank FROM near",
     "vector_rank": _W(s.nearest("embeddings", "vec_id", "embeddings", "vec_id", "near"))
     + """SELECT qid AS query_id, id, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INT) AS vec_rank
 FROM near WHERE similarity > 0""",

@@ -87,6 +87,35 @@ def test_vector_topk_is_exact_for_any_blocking(spark):
         assert got == want
 
 
+def test_bounded_topk_equals_the_full_product(spark):
+    rng = np.random.default_rng(12)
+    centres = vectors(rng, 12, 16) * 3
+    a = np.concatenate([centres + 0.3 * vectors(rng, 12, 16) for _ in range(40)] + [vectors(rng, 60, 16)])
+    a[7], a[300] = a[5] * 2, a[5]  # equal similarity: ordered by id
+    articles = [*enumerate(a), (900, None), (901, [0.0] * 16), (902, [1.0, 2.0]), (903, [])]
+    queries = [*enumerate(np.concatenate([centres + 0.2 * vectors(rng, 12, 16), vectors(rng, 20, 16)])), (500, [0.0] * 16), (501, None)]
+    q, kb = frame(spark, "query_id", queries), frame(spark, "id", articles)
+    want = sorted(map(tuple, vs.vector_topk(q, kb, 5, dim=16).collect()))
+    for options in ({}, {"n_cells": 3}, {"n_cells": 60, "cell_rows": 11}):
+        assert sorted(map(tuple, vs.vector_topk_bounded(q, kb, 5, dim=16, **options).collect())) == want
+    visited = vs.vector_visits(q.filter("query_id < 12"), kb, 5, dim=16, n_cells=16).first()
+    assert visited.share < 0.5  # of all pairs, where there are groups
+    few = kb.filter("id < 3")
+    assert vs.vector_topk_bounded(q, few, 5, dim=16).count() == vs.vector_topk(q, few, 5, dim=16).count()
+    assert vs.vector_topk_bounded(q, kb.limit(0), 5).count() == vs.vector_topk_bounded(q.limit(0), kb, 5, dim=16).count() == 0
+
+
+def test_slack_keeps_most_neighbours(spark):
+    rng = np.random.default_rng(13)
+    centres = vectors(rng, 60, 64)
+    points = np.concatenate([centres + 0.2 * vectors(rng, 60, 64) for _ in range(12)])
+    kb, q = frame(spark, "id", enumerate(points)), frame(spark, "query_id", enumerate(points[:200]))
+    exact = {(r.query_id, r.id) for r in vs.vector_topk(q, kb, 5).collect()}
+    found = {(r.query_id, r.id) for r in vs.vector_topk_bounded(q, kb, 5, slack=0.1).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert vs.vector_visits(q, kb, 5, slack=0.1).first().share <= vs.vector_visits(q, kb, 5).first().share < 0.5
+
+
 def test_vector_rank_drops_non_positive(spark):
     a = [(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0])]
     hits = vs.vector_topk(frame(spark, "query_id", [(7, [1.0, 0.0])]), frame(spark, "id", a), 5)
