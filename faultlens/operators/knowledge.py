@@ -152,13 +152,17 @@ def _with_vectors(rows: DataFrame, embed, key: str = "id") -> DataFrame:
 
 def kb_insert(kb: DataFrame, rows: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
     """New table state with the valid rows appended under new ids; rows(title, content, ...)."""
+    return kb.select(*FIELDS).unionByName(new_rows(kb, rows, embed, now))
+
+
+def new_rows(kb: DataFrame, rows: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
+    """The valid rows as rows of the table, under ids after those of kb(id)."""
     now = F.current_timestamp() if now is None else now
     numbered = number_rows(kb_valid_rows(rows).select(*TEXT_FIELDS), _last_id(kb))
-    fresh = _with_vectors(numbered, embed).select(
+    return _with_vectors(numbered, embed).select(
         "id", *TEXT_FIELDS, F.col("new_embedding").alias("embedding"),
         now.alias("created_at"), now.alias("updated_at"),
     )
-    return kb.select(*FIELDS).unionByName(fresh)
 
 
 def kb_update(kb: DataFrame, changes: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:

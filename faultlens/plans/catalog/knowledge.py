@@ -10,6 +10,7 @@ from faultlens.functions.tagging import key_errors
 from faultlens.functions.text import clip_chars, embed_text, log_fingerprint
 from faultlens.functions.masking import mask
 from faultlens.operators import embedding as emb, history as hist, knowledge as kn
+from faultlens.operators.kept_table import BucketedTable
 from faultlens.plans.catalog import sql as s
 from faultlens.session import work_path
 from faultlens.sources import files, views
@@ -119,6 +120,16 @@ def kb_update(spark, d):
     return _table(kn.kb_update(views.kb_state(spark, d), _changes(spark, d), now=_now()))
 
 
+def kb_bucketed(spark, d):
+    """Update, delete and backfill in the bucketed table, one after the other."""
+    kept = BucketedTable(spark, work_path(spark, "kept-table"), 16)
+    kept.create(views.kb_state(spark, d))
+    kept.update(_changes(spark, d), now=_now())
+    kept.delete(_changes(spark, d).filter("id % 10 = 3"))
+    kept.backfill()
+    return _table(kept.read())
+
+
 def kb_update_rejects(spark, d):
     return kn.kb_update_rejects(_kb(spark, d), _changes(spark, d)).select("id", "title")
 
@@ -274,6 +285,7 @@ QUERIES = {
     "kb_valid_rows": kb_valid_rows,
     "kb_insert": kb_insert,
     "kb_update": kb_update,
+    "kb_bucketed": kb_bucketed,
     "kb_update_rejects": kb_update_rejects,
     "kb_delete": kb_delete,
     "kb_backfill": kb_backfill,
@@ -366,6 +378,12 @@ j AS (SELECT k.id, coalesce(c.title, k.title) AS title, coalesce(c.content, k.co
   coalesce(c.symptoms, k.symptoms) AS symptoms, c.id IS NOT NULL AS hit,
   coalesce(c.embedding, k.embedding) AS embedding FROM kb_state k LEFT JOIN fresh c ON c.id = k.id)""")
     + _state("j", f"CASE WHEN hit THEN '{NOW}' ELSE {_OLD} END"),
+    "kb_bucketed": _W(s.KB_STATE, _CHANGES, _embedded("changes"), """
+j AS (SELECT k.id, coalesce(c.title, k.title) AS title, coalesce(c.content, k.content) AS content,
+  coalesce(c.category, k.category) AS category, coalesce(c.keywords, k.keywords) AS keywords,
+  coalesce(c.symptoms, k.symptoms) AS symptoms, c.id IS NOT NULL AS hit, coalesce(c.embedding, k.embedding) AS embedding
+  FROM kb_state k LEFT JOIN fresh c ON c.id = k.id WHERE k.id NOT IN (SELECT id FROM changes WHERE id % 10 = 3))""", _filled("j"))
+    + _state("filled", f"CASE WHEN hit THEN '{NOW}' ELSE {_OLD} END"),
     "kb_update_rejects": _W(s.KB, _CHANGES) + "SELECT id, title FROM changes WHERE id NOT IN (SELECT id FROM kb)",
     "kb_delete": _W(s.KB_STATE, _CHANGES) + _state("kb_state") + " WHERE id NOT IN (SELECT id FROM changes)",
     "kb_backfill": _W(s.KB_STATE, _filled("kb_state")) + _state("filled"),
