@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.llm.components import components
+from faultlens.llm.tables import smallest_hashes
 from faultlens.sources.stage import stage
 
 THRESHOLD = 0.98
@@ -51,7 +52,7 @@ def principal_axes(units: DataFrame, sample: int = SAMPLE, axes: int = AXES) ->
 
     Any orthonormal axes give the same links; the sample only decides how much is skipped.
     """
-    rows = units.select("dim", "unit").orderBy(F.xxhash64("unit"), "unit").limit(sample).collect()
+    rows = smallest_hashes(units.select("dim", "unit"), ["unit"], sample).collect()
     out = {}
     for dim in {r["dim"] for r in rows}:
         x = np.array([np.frombuffer(r["unit"]) for r in rows if r["dim"] == dim])
@@ -152,8 +153,8 @@ def join_sequences(a: _Sequence, b: _Sequence, same: bool, threshold: float, squ
             continue
         hit = a.units[i:j] @ b.units[k:m].T >= threshold
         alone = same and i == k
-        if alone:
-            np.fill_diagonal(hit, False)
+        if hit.any():  # rows of one id are one vector: no links between them
+            hit &= a.ids[i:j, None] != b.ids[None, k:m]
         if not hit.any():
             continue
         links_a[i:j] += hit.sum(axis=1)
@@ -211,7 +212,7 @@ def similar_vectors(
     Vectors of one label (not null) and length are linked if their cosine in double precision is at least
     ``threshold``. Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
     nor do rows with a null id (their component is null, and they are kept). Links of rows that share an id are
-    added up; exactly repeated rows count once.
+    added up, and there are none between them; exactly repeated rows count once.
 
     Unit vectors with cosine >= t lie within epsilon = sqrt(2 - 2 t). They are sorted by grid cells of side epsilon
     on the leading principal axes and range-partitioned in that order (a crowded cell is dealt to many tasks), then

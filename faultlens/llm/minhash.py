@@ -345,8 +345,12 @@ def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: that of the smallest id, once if its row repeats; rows with null ids stay."""
-    found = near_duplicates(docs, shingle, percent)
-    kept = stage(found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group: that of the smallest id (of different texts under it, of the smallest hash), once if its row
+    repeats. Rows are told apart by id and text, so different texts under one id are compared each; rows with null ids stay."""
+    row, named = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), docs.filter("doc_id IS NOT NULL")
+    found = near_duplicates(named.select(row.alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = named.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id")).distinct()
+    first = found.distinct().join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("first"))
+    kept = stage(first.select(F.col("first._row").alias("_kept")), "kept")
+    left = named.withColumn("_row", row).join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+    return left.dropDuplicates(["_row"]).drop("_row").unionByName(docs.filter("doc_id IS NULL"))

@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultlens.llm.tables import smallest_hashes
 from faultlens.sources.stage import stage
 
 # fixed values: the base patterns
@@ -83,7 +84,7 @@ def labelled_samples(docs: DataFrame, spans: DataFrame, sample_docs: int = SAMPL
     mixed = F.filter(value, lambda s: (F.length(s) >= 16) & F.rlike(s, F.lit("[0-9]")) & F.rlike(s, F.lit("[A-Za-z]")))
     caught = F.concat(mixed, F.col("access.s"), F.col("hex.s"))
     secrets = spans.select(F.lit(1).alias("label"), F.explode(caught).alias("s"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = smallest_hashes(docs.select("doc_id", "text"), ["doc_id"], sample_docs)
     rest = _clean(F.col("text"))
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))

@@ -86,7 +86,7 @@ def test_near_duplicates(odd_docs, no_docs):
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
     left = minhash.drop_near_duplicates(odd_docs, 5, 80)
     assert left.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in left.filter("doc_id IS NOT NULL").collect()) == [-5, 1, 4, 5, 6, 7, 9, 10, 11, 12]
+    assert sorted(r.doc_id for r in left.filter("doc_id IS NOT NULL").collect()) == [-5, 1, 4, 5, 6, 7, 9, 10, 11, 12, 12]  # two texts under one id
     assert left.filter("doc_id IS NULL").count() == 2
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.drop_near_duplicates(no_docs).count() == 0
 
@@ -107,10 +107,12 @@ def test_vectors(spark):
         (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [1.0, 0.0], 1), (5, [1.0, 0.0], None), (6, None, 0), (7, [], 0),
         (8, [0.0, 0.0], 0), (9, [nan, 1.0], 0), (10, [inf, 1.0], 0), (11, [None, 1.0], 0), (12, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [2.0, 0.0], 0),
     ]
+    rows += [(20, [0.0, 5.0], 3), (20, [0.0, 5.1], 3), (21, [5.0, 0.0], 3)]  # two vectors under one id are no links
     vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, unit string, block int")
     got = egojoin.similar_vectors(vectors).collect()
     assert len(got) == len(rows)
     by_id = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
     assert by_id[1] == (2, 1, True) and by_id[2] == (2, 1, False) and by_id[3] == (2, 1, False)
     assert all(by_id[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)) and by_id[None] == (0, None, True)
+    assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got if r.vec_id in (20, 21))
     assert egojoin.similar_vectors(vectors.limit(0)).count() == 0
