@@ -14,7 +14,7 @@ SLOW = {
     "hit_rate_cases", "hit_rate_grade", "diagnose_bad_answers", "diagnose_batch", "auto_learn", "run_experiment",
     "experiment_report", "fts_keywords", "fts_match", "like_match", "miss_to_cot", "stream_retrieve",
     "hybrid_search_text_only", "hybrid_search_articles", "hybrid_search_first_source", "recorded_answers",
-    "assemble_prompt", "llm_answers", "kb_seed", "embed_report", "vector_rank",
+    "assemble_prompt", "llm_answers", "kb_seed", "embed_report", "vector_rank", "stream_history", "llm_answers_kept", "kb_bucketed",
 }
 NAMES = [n for n in entry.oracle_sql() if os.environ.get("FAULTLENS_ALL") or n not in SLOW]
 
