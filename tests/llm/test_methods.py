@@ -121,6 +121,56 @@ def test_passages_with_every_sixth_word_changed(spark):
     assert {(r.doc_id, r.other_id) for r in rows} == {(1, 0), (3, 2)}
 
 
+def test_passages_of_many_layouts_changed_passages_and_repeated_ids(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    some = lambda n: [word() for _ in range(n)]
+    rows, whole, changed = [], set(), set()
+
+    def add(*texts):
+        ids = sorted(range(len(rows), len(rows) + len(texts)))
+        rows.extend((i, " ".join(some(30) + t + some(30))) for i, t in zip(ids, texts))
+        return ids
+
+    for _ in range(200):  # both parts and the joint alone, in any order with two documents that hold the whole
+        x, y = some(40), some(40)
+        put = [x, y, x[30:] + y[:10], x + y, x + y]
+        rng.shuffle(put)
+        a, b = (i for i, t in zip(add(*put), put) if len(t) == 80)
+        whole.add((b, a))
+    for n in (50, 60, 100):
+        for _ in range(100):  # up to a fifth of the words changed, none of them at an end: n words of which four in five agree
+            x = some(n)
+            at = set(rng.sample(range(1, n - 1), rng.randint(1, n // 5)))
+            a, b = add(x, [word() if i in at else w for i, w in enumerate(x)])
+            changed.add((b, a))
+    x = some(60)
+    (a,) = add(x)
+    rows.extend((10**6, " ".join(some(30) + half + some(30))) for half in (x[:30], x[30:]))
+    # two texts of one id: the passage of the second is found under the id
+    y = some(70)
+    (c,) = add(y)
+    rows.extend([(10**6 + 1, " ".join(some(90))), (10**6 + 1, " ".join(some(5) + y))])
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault((r.doc_id, r.other_id), []).append((r.start, r.end, r.n_matches))
+    assert all((30, 110, 80) in found.get(pair, []) for pair in whole)
+    assert len(changed & set(found)) >= 0.95 * len(changed)
+    assert found.pop((10**6 + 1, c)) == [(5, 75, 70)]
+    assert set(found) <= whole | changed and 10**6 not in {b for b, _ in found}
+
+
+def test_copies_are_named_once_and_passages_are_between_classes(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    shared = [word() for _ in range(60)]
+    one, two = (" ".join([word() for _ in range(20)] + shared) for _ in range(2))
+    rows = [(1, one), (5, one), (5, one), (9, one), (3, two), (4, two), (7, "short text"), (8, "short text")]
+    found = {(r.doc_id, r.other_id): (r.start, r.end, r.other_start, r.other_end, r.n_matches) for r in
+             substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(5, 1): (0, 80, 0, 80, 80), (9, 1): (0, 80, 0, 80, 80), (4, 3): (0, 80, 0, 80, 80), (3, 1): (20, 80, 20, 80, 60)}
+
+
 def test_shingle_bound_is_never_low_and_near_copies_are_found(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
