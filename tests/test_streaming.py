@@ -10,6 +10,7 @@ from faultlens.operators.history import first_per_day
 from faultlens.operators.hybrid import hybrid_search
 from faultlens.operators.postings import search_index
 from faultlens.operators.preprocess import preprocess, with_keywords
+from faultlens.plans.catalog import streams
 from faultlens.streaming import logs as st
 
 TEXTS = ["ERROR CPU at 10.0.0.1", "nothing", "Connection refused password=x", "ERROR CPU at 10.0.0.2", "502 bad gateway", "info"]
@@ -25,6 +26,16 @@ def test_preprocess_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, preprocess(logs).drop("key_errors").collect()))
 
 
+def test_documents_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet", index=False)
+    found = [sorted(map(tuple, streams.stream_preprocess(spark, str(tmp_path / kind)).collect())) for kind in ("folder", "file")]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == list(range(len(TEXTS)))
+
+
 DEDUP = "log_hash string, ts timestamp, log_id long"
 START = dt.datetime(2024, 1, 1)
 
