@@ -1,9 +1,11 @@
 """Text and vector search against brute force; fusion rules."""
 
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultlens.functions import fixed_values as fv
@@ -105,6 +107,32 @@ def test_bounded_topk_equals_the_full_product(spark):
     assert vs.vector_topk_bounded(q, kb.limit(0), 5).count() == vs.vector_topk_bounded(q.limit(0), kb, 5, dim=16).count() == 0
 
 
+def test_blocks_of_vectors_are_shuffled_and_not_visits(spark):
+    rng = np.random.default_rng(21)
+    q, kb = frame(spark, "query_id", enumerate(vectors(rng, 300, 16))), frame(spark, "id", enumerate(vectors(rng, 400, 16)))
+    hits = vs.vector_topk_bounded(q, kb, 5, dim=16)
+    assert "explode(cast(cell" not in hits._jdf.queryExecution().toString() and "CoGroup" not in hits._jdf.queryExecution().toString()
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    assert vs.vector_visits(q, kb, 5, dim=16).first().n_compared > 0.9 * 300 * 400  # nothing can be skipped
+    written = {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before}
+    assert written == {"bounded-queries", "settled", "first-hits"}  # no row per query and cell
+
+
+def test_topk_of_copies_and_vectors_that_are_not_finite(spark):
+    rng = np.random.default_rng(22)
+    a = np.concatenate([np.tile(vectors(rng, 1), (5000, 1)), vectors(rng, 3000), np.full((1, 8), np.nan, np.float32)])
+    q = np.concatenate([a[:2], vectors(rng, 30), -a[:1]])
+    unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    sims = np.round(unit(q) @ unit(a[:-1]).T, 6)
+    want = sorted((i, j, s[j], rank) for i, s in enumerate(sims) for rank, j in enumerate(np.lexsort((np.arange(8000), -s))[:7].tolist(), 1))
+    for k in ({}, {"article_block": 900}):
+        got = vs.vector_topk(frame(spark, "query_id", enumerate(q)), frame(spark, "id", enumerate(a)), 7, **k).collect()
+        assert sorted((r.query_id, r.id, r.similarity, r["rank"]) for r in got) == want
+    block = vs._Block(pa.array(range(len(a))), unit(a), None, 7)
+    assert len(block.ids) == 3007  # of equal vectors as many as can be hits
+
+
 def test_slack_keeps_most_neighbours(spark):
     rng = np.random.default_rng(13)
     centres = vectors(rng, 60, 64)
