@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +21,8 @@ from faultlens.sources.stage import stage
 
 A_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000  # text bytes encoded and aligned at a time
+SLICE_LINKS = 250_000
 PRODUCT_ENTRIES = 4_000_000  # so many entries of a product are worked out at a time
 # how byte-level vocabularies part a text before merging (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -274,9 +276,9 @@ def linked(docs: DataFrame, files: Files | None = None) -> DataFrame:
     def run(batches):
         pair = shared.value.load()
         for batch in batches:
-            texts = blobs(batch.column("text"))
-            for start, end in slices(map(len, texts), SLICE_BYTES):
-                n_a, n_b, n_groups, n_links, written, lists = _digest(texts[start:end], pair)
+            text = batch.column("text")
+            for start, end in slices(pc.binary_length(text).fill_null(0).to_pylist(), SLICE_BYTES):
+                n_a, n_b, n_groups, n_links, written, lists = _digest(blobs(text.slice(start, end - start)), pair)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[start:end], *(pa.array(n.astype(np.int64)) for n in (n_a, n_b, n_groups, n_links)),
                      pa.array(written, pa.string()), pa.array(lists, pa.list_(pa.int32()))],
@@ -286,12 +288,19 @@ def linked(docs: DataFrame, files: Files | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _LINKED)
 
 
+def _by_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE_LINKS`` links at most, or one row: what is worked out per link stays small."""
+    for batch in batches:
+        for start, end in slices(batch.column("links").value_lengths().to_pylist(), SLICE_LINKS):
+            yield batch.slice(start, end - start)
+
+
 def _pair_counts(rows: DataFrame, n_pairs: int) -> np.ndarray:
     """Links of each pair over all rows; a task sends one row per pair at most, and so many reach the driver."""
 
     def count(batches):
         total = np.zeros(n_pairs, np.int64)
-        for batch in batches:
+        for batch in _by_links(batches):
             total += np.bincount(batch.column("links").flatten().to_numpy(), minlength=n_pairs)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
@@ -325,7 +334,7 @@ def alignment_digest(docs: DataFrame, files: Files | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((counts, _best(counts, pair.pairs, len(pair.b_bytes)).astype(np.int64)))
 
     def total(batches):
-        for batch in batches:
+        for batch in _by_links(batches):
             links = batch.column("links")
             flat, ends = links.flatten().to_numpy(), np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy())])
             sums = []

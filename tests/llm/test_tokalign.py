@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -171,3 +172,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     broken = odd_docs.limit(1).select("doc_id", F.expr("CAST(X'61FF62' AS STRING)").alias("text"))
     assert tuple(tokalign.alignment_digest(broken).first())[1:] == (0, 0, 0, 0, 0, 0, "")
     assert tokalign.alignment_digest(no_docs).count() == tokalign.pair_table(no_docs).count() == tokalign.token_links(no_docs).count() == 0
+
+
+def test_links_are_counted_in_small_parts():
+    lists = [[1] * 90_000, [], [2] * 100_000, [3] * 200_000, [4] * (2 * tokalign.SLICE_LINKS), [], [5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "links"])
+    parts = list(tokalign._by_links([batch.slice(0, 0), batch]))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist()
+    assert all(len(p.column("links").flatten()) <= tokalign.SLICE_LINKS or p.num_rows == 1 for p in parts) and len(parts) >= 3
