@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultlens.llm import decontam, egojoin, langid, lm, minhash, mixing, quality, secrets, sharding, substring
@@ -171,6 +172,43 @@ def test_copies_are_named_once_and_passages_are_between_classes(spark):
     assert found == {(5, 1): (0, 80, 0, 80, 80), (9, 1): (0, 80, 0, 80, 80), (4, 3): (0, 80, 0, 80, 80), (3, 1): (20, 80, 20, 80, 60)}
 
 
+@pytest.mark.parametrize("crowd", [100, 3])
+def test_every_pair_of_documents_with_a_passage_is_named(spark, crowd):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    some = lambda n: [word() for _ in range(n)]
+    shared, longer = some(60), some(30)
+    # the last words that two documents share beyond the passage of all stand in no document before or after them
+    texts = {i: some(20) + shared + (longer if i in (4, 9) else []) + some(20) for i in range(12)}
+    changed = {i: some(20) + [w if j % 9 else word() for j, w in enumerate(shared)] + some(20) for i in range(20, 24)}
+    rows = [(i, " ".join(t)) for i, t in {**texts, **changed}.items()] + [(30, " ".join(texts[3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.other_id): r.end - r.start for r in substring.repeated_passages(docs, crowd=crowd).collect()}
+    assert {(b, a) for b in range(12) for a in range(b)} == {p for p in found if p[0] < 12}
+    assert found[9, 4] == 90 and found[30, 3] == 100
+    assert {(b, a) for b in changed for a in range(12)} <= set(found)
+
+
+def test_links_are_all_pairs_of_a_seed_however_the_run_is_cut():
+    rng = random.Random(16)
+    places = sorted((rng.randrange(40) ** 2 // 40, rng.randrange(30), rng.randrange(6)) for _ in range(400))
+    places = sorted(places + rng.sample(places, 50))
+    for size in (1, 7, 400):
+        for most in (2, 12, 100):
+            parts = [places[i:i + size] for i in range(0, len(places), size)]
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x), (pa.int64(), pa.int64(), pa.int32()))], names=["seed", "doc", "pos"]) for x in parts]
+            rows = [r for batch in substring._link(iter(batches), most) for r in batch.to_pylist()]
+            docs = {}
+            for seed, doc, pos in set(places):
+                docs.setdefault(seed, {}).setdefault(doc, []).append(pos)
+            apart = {r["seed"] for r in rows if r["edge"]}
+            assert {s for s, d in docs.items() if len(d) > most} <= apart <= {s for s, d in docs.items() if len(d) > most} | {places[0][0], places[-1][0]}
+            left = sorted((r["seed"], r["b"], r["b_pos"], r["edge"]) for r in rows if r["edge"])
+            assert left == sorted((s, d, p, 1 if p == min(ps) else 2) for s in apart for d, ps in docs[s].items() for p in ps)
+            linked = sorted((r["seed"], r["a"], r["a_pos"], r["b"], r["b_pos"]) for r in rows if not r["edge"])
+            assert linked == sorted((s & 1, a, min(d[a]), b, p) for s, d in docs.items() if s not in apart for a in d for b in d if a < b for p in d[b])
+
+
 def test_shingle_bound_is_never_low_and_near_copies_are_found(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
