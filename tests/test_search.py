@@ -248,3 +248,18 @@ def test_hashed_and_model_vectors(spark):
     assert {r.id: r.embedding for r in vectors_.collect()} == {1: [1.0, 2.0], 2: None, 3: [1.0, 2.0]}
     before = df.withColumn("embedding", F.lit(None).cast("array<float>"))
     assert embed_report(before, vectors_).first().asDict() == {"success": 2, "failed": 1}
+
+
+def test_block_whose_later_slices_hold_no_hit_gives_the_best_of_all():
+    rng = np.random.default_rng(7)
+    units = rng.standard_normal((900, 16))
+    units /= np.sqrt((units * units).sum(axis=1, keepdims=True))
+    asked = units[rng.permutation(900)[:300]]
+    block = vs._Block(pa.array(np.arange(900)), units, None, 5, 64)
+    points = np.rint(asked @ units.T * 10**vs.DIGITS).astype(np.int64)
+    best = np.lexsort((np.broadcast_to(np.arange(900), points.shape), -points), axis=1)[:, :5]
+    rows, cols, _ = block.best(asked, np.full(300, -np.inf))
+    found = block.place[cols][np.lexsort((block.place[cols], -points[rows, block.place[cols]], rows))].reshape(300, 5)
+    assert (found == best).all()
+    # a bar that nothing reaches
+    assert [len(x) for x in block.best(asked, np.full(300, 2.0))] == [0, 0, 0]
