@@ -1,5 +1,6 @@
 """Text and vector search against brute force; fusion rules."""
 
+import hashlib
 import os
 import random
 import re
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultlens.functions import fixed_values as fv
-from faultlens.operators import fusion, textsearch as ts, vectorsearch as vs
+from faultlens.operators import embedding, fusion, textsearch as ts, vectorsearch as vs
 from faultlens.functions.vectors import cosine_similarity
 from faultlens.operators.embedding import embed_report, hashed_vectors, model_vectors
 from faultlens.operators.hybrid import hybrid_search, retrieved_ids
@@ -51,6 +52,15 @@ def test_fts_plan_has_no_cross_join(spark):
     assert not re.search("CartesianProduct|NestedLoop|Python", plan)
 
 
+def test_fts_candidates_are_dealt_by_word_and_part_and_not_shuffled_again(spark):
+    q = spark.createDataFrame([(i, f"common w{i % 3}") for i in range(30)], "query_id long, query_text string")
+    kb = spark.createDataFrame([(None if i == 7 else i, "", f"common w{i % 3} common", "", "", "") for i in range(300)], KB)
+    found = ts.fts_match(q, kb)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and not re.search(r"Join \[id#", plan)
+    assert {(r.query_id, r.id, r.score) for r in found.collect()} == {(a, b, 1.0) for a in range(30) for b in range(300) if a % 3 == b % 3 and b != 7}
+
+
 def test_like_search(spark):
     kb = spark.createDataFrame(
         [(i, "", "", "", "", "CPU,disk usage 100x%") for i in range(10, 0, -1)] + [(99, "", "", "", "", "cpu"), (98, "", "", "", "", None)], KB)
@@ -228,6 +238,20 @@ def test_hybrid_search_end_to_end(spark):
     assert ids == {"a": "2,1"}
 
 
+def test_each_distinct_word_is_hashed_once(monkeypatch):
+    seen, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda data, **options: seen.append(data) or md5(data, **options))
+    texts = [["a", "ünö", "a"], None, [], ["a"] * 500 + ["b"], ["b"]]
+    got = embedding._unit_vectors(pa.array(texts, pa.list_(pa.string()))).to_pylist()
+    assert sorted(seen) == sorted({b"a", b"b", "ünö".encode()})
+    for vector, text in zip(got, texts):
+        want = np.zeros(64)
+        for word in text or []:
+            x, y, z = (int(digit, 16) for digit in md5(word.encode()).hexdigest()[:3])
+            want[x % 4 * 16 + y] += 1 if z < 8 else -1
+        assert vector == (list((want / np.sqrt((want * want).sum())).astype(np.float32)) if want.any() else None)
+
+
 def test_hashed_and_model_vectors(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, ""), (3, "...")], "id long, text string")
     got = {r.id: r.embedding for r in hashed_vectors(df, "id", "text").collect()}
@@ -263,3 +287,19 @@ def test_block_whose_later_slices_hold_no_hit_gives_the_best_of_all():
     assert (found == best).all()
     # a bar that nothing reaches
     assert [len(x) for x in block.best(asked, np.full(300, 2.0))] == [0, 0, 0]
+
+
+def test_block_begins_with_what_is_nearest_to_the_queries_and_finds_the_same():
+    rng = np.random.default_rng(8)
+    units = rng.standard_normal((900, 16))
+    units /= np.sqrt((units * units).sum(axis=1, keepdims=True))
+    asked, cell = units[:40] + units[0], np.repeat([0, 1], 450)
+    plain, turned = (vs._Block(pa.array(np.arange(900)), units, cell, 5, 64, towards) for towards in (None, asked.sum(axis=0)))
+    nearness = turned.units @ asked.sum(axis=0)
+    assert all((np.diff(nearness[i:i + 450]) <= 0).all() for i in (0, 450)) and (turned.place[:450] < 450).all()
+    hits = []
+    for block in (plain, turned):
+        rows, cols, points = block.best(asked, np.full(40, -np.inf))
+        hits.append(sorted(zip(rows.tolist(), block.ids.take(pa.array(cols)).to_pylist(), points.tolist())))
+    assert hits[0] == hits[1]
+    assert vs._Block(pa.array([1, 2]), np.full((2, 16), np.nan), None, 5, 64, np.ones(3)).slices == []
