@@ -209,6 +209,48 @@ def test_links_are_all_pairs_of_a_seed_however_the_run_is_cut():
             assert linked == sorted((s & 1, a, min(d[a]), b, p) for s, d in docs.items() if s not in apart for a in d for b in d if a < b for p in d[b])
 
 
+def test_frequent_lines_beside_rare_words_are_linked_as_without_a_crowd(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    some = lambda n: [word() for _ in range(n)]
+    lines = [some(7) for _ in range(6)]
+    texts = [sum(([*some(rng.randrange(6, 14)), *rng.choice(lines)] for _ in range(5)), some(10)) for _ in range(30)]
+    planted = set()
+    for n in range(30):  # passages of two runs of seven words, one or both frequent, and runs of four around them; some have a word more in one text
+        runs = [lines[n % 6], lines[(n + 1) % 6] if n % 5 == 4 else some(7)]
+        rng.shuffle(runs)
+        parts = [some(4) for _ in range(4)] + [runs[0]] + [some(4) for _ in range(1 + n % 2)] + [runs[1]] + [some(4) for _ in range(4)]
+        planted.add((len(texts) + 1, len(texts)))
+        for copy in range(2):
+            middle = [word()] if copy and n % 4 == 3 else []
+            texts.append(sum(([*p, word()] for p in parts[:5]), some(12)) + middle + sum(([*p, word()] for p in parts[5:]), []) + some(12))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    crowded, plain = (sorted(map(tuple, substring.repeated_passages(docs, crowd=crowd).collect())) for crowd in (3, 1000))
+    assert crowded == plain and len(planted & {r[:2] for r in crowded}) >= 20
+
+
+def test_promising_places_against_plain_loops():
+    rng = np.random.default_rng(1)
+    n, before = 3000, substring._LEFT
+    a = rng.integers(1, 200, (n, before + 4 + substring._RIGHT)).astype(np.uint8)
+    share = rng.choice([0.05, 0.5, 0.8, 1.0], (n, 14)).repeat(14, axis=1)
+    b = np.where(rng.random(a.shape) < share, a, rng.integers(1, 200, a.shape)).astype(np.uint8)
+    b[np.arange(a.shape[1]) >= rng.integers(before + 4, 400, n)[:, None]] = 0  # the text ends
+    first, last = rng.random((2, n)) < 0.7
+    sides = [x for rows in (a, b) for x in (rows[:, :before][:, ::-1], rows[:, before + 4:])]
+    found = substring._promising(sides[0], sides[2], sides[1], sides[3], first, last, 4, 8, 40.0)
+
+    def ones(x):
+        return next((i for i, v in enumerate(x) if not v), len(x))
+
+    for i in range(n):
+        left, right = ((sides[c][i] == sides[c + 2][i]) & (sides[c][i] != 0) for c in (0, 1))
+        x, y = ones(left), ones(right)
+        reached = x + 4 + y >= 8 and x + 4 + y + left[x:][:24].sum() + right[y:][:24].sum() >= 40
+        other = any(s[j:j + 4].sum() == 4 for s in (left[x:], right[y:]) for j in range(33))
+        assert found[i] == (first[i] and (reached or left[:24].sum() >= 16 or other or x > 28 or y > 92) or last[i] and right[:24].sum() >= 16)
+
+
 def test_shingle_bound_is_never_low_and_near_copies_are_found(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
