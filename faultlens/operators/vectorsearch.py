@@ -124,19 +124,6 @@ class _Block:
         return settled() if pending else found
 
 
-def _best_in_block(queries: pd.DataFrame, articles: pd.DataFrame, k: int) -> pd.DataFrame:
-    if queries.empty or articles.empty:
-        return pd.DataFrame({"query_id": queries["query_id"][:0], "id": articles["id"][:0], "similarity": np.empty(0)})
-    block = _Block(pa.array(articles["id"]), _unit(articles["vec"]), None, k)
-    query_ids, ids, units = queries["query_id"].to_numpy(), block.ids.to_numpy(zero_copy_only=False), _unit(queries["vec"])
-    out = []
-    for start in range(0, len(query_ids), _SLICE):
-        part = units[start:start + _SLICE]
-        rows, cols, points = block.best(part, np.full(len(part), -np.inf))
-        out.append(pd.DataFrame({"query_id": query_ids[start + rows], "id": ids[cols], "similarity": points / 10**DIGITS}))
-    return pd.concat(out, ignore_index=True)
-
-
 def _meet(batches: Iterator[pa.RecordBatch], k: int, rule: Callable | None, width: int) -> Iterator[pa.RecordBatch]:
     """The best k articles of each query in its block pair. Rows are sorted by pair, the articles of a pair before its queries."""
     pair, parts, block = None, [], None
@@ -180,8 +167,8 @@ def _clean(df: DataFrame, key: str, vector: str, dim: int | None) -> DataFrame:
     return df.filter(ok).select(F.col(key), F.col(vector).alias("vec"))
 
 
-def _n_blocks(df: DataFrame, key: str, rows: int | None, block: int) -> int:
-    return max(1, math.ceil((df.select(key).count() if rows is None else rows) / block))
+def _n_blocks(rows: int, block: int) -> int:
+    return max(1, math.ceil(rows / block))
 
 
 def _merge(hits: DataFrame, k: int) -> DataFrame:
@@ -248,62 +235,29 @@ def _met(queries: DataFrame, articles: DataFrame, n_query: int, n_article: int,
     return together.mapInArrow(partial(_meet, k=k, rule=rule, width=width), f"query_id {key}, id long, similarity double")
 
 
-def _block_product(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
-    best = partial(_best_in_block, k=k)
-    key_type = left.schema["query_id"].dataType.simpleString()
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda q, a: best(q, a), schema=f"query_id {key_type}, id long, similarity double"
-    )
-
-
 def hyperplanes(n_bits: int, dim: int) -> np.ndarray:
     return np.random.default_rng(20240101).standard_normal((n_bits, dim))
 
 
-def _cells(vectors: pd.Series, planes: np.ndarray, n_probe: int) -> pd.Series:
-    margins = _unit(vectors) @ planes.T
-    bits = 1 << np.arange(planes.shape[0])
-    home = ((margins > 0) * bits).sum(axis=1)
+def _sides(units: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of vectors to the planes, and the cell that they lie in."""
+    margins = units @ planes.T
+    return margins, ((margins > 0) * (1 << np.arange(planes.shape[0]))).sum(axis=1)
+
+
+def _cells(units: np.ndarray, planes: np.ndarray, n_probe: int) -> np.ndarray:
+    """The home cell and those across the nearest planes."""
+    margins, home = _sides(units, planes)
     nearest = np.argsort(np.abs(margins), axis=1, kind="stable")[:, : n_probe - 1]
-    probes = np.concatenate([home[:, None], home[:, None] ^ bits[nearest]], axis=1)
-    return pd.Series(list(probes.astype(np.int32)))
+    return np.concatenate([home[:, None], home[:, None] ^ (1 << np.arange(planes.shape[0]))[nearest]], axis=1)
 
 
-def _nearest_cells(vectors: pd.Series, planes: np.ndarray, n_probe: int) -> pd.Series:
+def _nearest_cells(units: np.ndarray, planes: np.ndarray, n_probe: int) -> np.ndarray:
     """The home cell and those reached by crossing the planes of least summed squared margins; ties by cell."""
-    bits = 1 << np.arange(planes.shape[0])
+    margins, home = _sides(units, planes)
     cells = np.arange(1 << planes.shape[0])
-    across = ((cells[:, None] & bits) > 0).astype(np.float64)
-    out = []
-    for start in range(0, len(vectors), _SLICE):
-        margins = _unit(vectors.iloc[start:start + _SLICE]) @ planes.T
-        home = ((margins > 0) * bits).sum(axis=1)
-        order = np.argsort(margins**2 @ across.T, axis=1, kind="stable")[:, :n_probe]
-        out.extend((home[:, None] ^ order).astype(np.int32))
-    return pd.Series(out)
-
-
-def _cell_product(homes: DataFrame, visits: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """Best k per query and cell of homes(id, vec, cell) for visits(query_id, vec, cell); crowded cells are cut into parts."""
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(name))
-
-    # one row per cell that has both sides
-    layout = parts(homes, "n_article").join(parts(visits, "n_query"), "cell")
-    left = (
-        visits.join(layout, "cell")
-        .withColumn("q_part", _part_of("query_id", F.col("n_query")))
-        .withColumn("a_part", F.explode(F.sequence(F.lit(0), F.col("n_article") - 1)))
-        .select("query_id", "vec", "cell", "q_part", "a_part")
-    )
-    right = (
-        homes.join(layout, "cell")
-        .withColumn("a_part", _part_of("id", F.col("n_article")))
-        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
-        .select("id", "vec", "cell", "q_part", "a_part")
-    )
-    return _block_product(left, right, ["cell", "q_part", "a_part"], k)
+    across = ((cells[:, None] & (1 << np.arange(planes.shape[0]))) > 0).astype(np.float64)
+    return home[:, None] ^ np.argsort(margins**2 @ across.T, axis=1, kind="stable")[:, :n_probe]
 
 
 def vector_topk_ann(
@@ -324,30 +278,36 @@ def vector_topk_ann(
     Without ``n_probe`` a query visits the share ``PROBED`` of all cells, nearest first, so that recall does not fall with
     the number of cells. A given ``n_probe`` is the home cell and those across a single plane, n_bits + 1 at most.
 
-    Cells are split into parts of at most about ``cell_rows`` articles and queries, so a crowded cell becomes
-    many tasks instead of one. Queries whose cells hold fewer than k articles are searched exactly, so none is
+    A task has a block of articles and works out the cells of the queries it takes, so no row per query and cell is written or
+    shuffled; a product has ``cell_rows`` articles of one cell at most. Queries whose cells hold fewer than k articles are searched exactly, so none is
     short of k while there are candidates.
     """
+    n_articles = articles.select("id").count() if n_articles is None else n_articles
+    n_queries = queries.select("query_id").count() if n_queries is None else n_queries
     if n_bits is None:
-        n_bits = max(1, math.ceil(math.log2(_n_blocks(articles, "id", n_articles, cell_rows))))
+        n_bits = max(1, math.ceil(math.log2(_n_blocks(n_articles, cell_rows))))
     queries, articles = _clean(queries, "query_id", vector, dim), _clean(articles, "id", vector, dim)
     planes = hyperplanes(n_bits, dim)
     probe = _nearest_cells if n_probe is None else _cells
     n_probe = math.ceil(PROBED * 2**n_bits) if n_probe is None else min(n_probe, n_bits + 1)
 
-    def cells(count: int):
-        @F.pandas_udf("array<int>")
-        def of(vectors: pd.Series) -> pd.Series:
-            return probe(vectors, planes, count)
+    @F.pandas_udf("int")
+    def home(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_sides(_unit(vectors), planes)[1].astype(np.int32))
 
-        return of
+    def visited(units, least):
+        mask = np.zeros((len(units), 1 << n_bits), bool)
+        np.put_along_axis(mask, probe(units, planes, n_probe), True, axis=1)
+        return mask
 
-    # written: the layout and the join both read them
-    homes = stage(articles.withColumn("cell", F.element_at(cells(1)("vec"), 1)), "homes")
-    visits = stage(queries.withColumn("cell", F.explode(cells(n_probe)("vec"))), "visits")
-    found = stage(_merge(_cell_product(homes, visits, k, cell_rows), k), "cell-hits")
+    asked, homes = queries.withColumn("least", F.lit(float("-inf"))), articles.withColumn("cell", home("vec"))
+    found = stage(_merge(_met(asked, homes, *_layout(queries, n_queries, n_articles), k, visited, cell_rows), k), "cell-hits")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
-    short = stage(queries.join(full, "query_id", "left_anti"), "short-queries")
+    # ids alone are compared with all hits; there are few such queries, if any
+    short_ids = stage(queries.select("query_id").join(full, "query_id", "left_anti").distinct().withColumnRenamed("query_id", "short_id"), "short-ids")
+    if short_ids.isEmpty():
+        return found
+    short = stage(queries.join(short_ids, F.col("query_id").eqNullSafe(F.col("short_id")), "left_semi"), "short-queries")
     rest = vector_topk(short, articles, k, "vec", n_articles=n_articles)
     return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
 

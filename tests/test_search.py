@@ -184,6 +184,25 @@ def test_ann_recall_does_not_fall_with_the_number_of_bits(spark):
         assert len(exact & found) >= 0.9 * len(exact), bits
 
 
+def test_ann_writes_no_row_per_query_and_cell(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    points, written, stage = vectors(rng, 600, 64), [], vs.stage
+    monkeypatch.setattr(vs, "stage", lambda df, name: written.append(stage(df, name)) or written[-1])
+    articles, queries = frame(spark, "id", enumerate(points)), frame(spark, "query_id", enumerate([*points[:59], np.zeros(64)]))
+    found = {(r.query_id, r.rank): r.id for r in vs.vector_topk_ann(queries, articles, 5, n_bits=4, cell_rows=30).collect()}
+    assert max(df.count() for df in written) <= 5 * 60
+    # the hits are the best of the cells that a query visits: its own and the next by the summed squares of the margins crossed
+    planes = vs.hyperplanes(4, 64)
+    cell = lambda x: sum(1 << j for j, p in enumerate(planes) if p @ x > 0)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    for q in range(59):
+        far = sorted((sum(float(p @ unit[q]) ** 2 for j, p in enumerate(planes) if c >> j & 1), c) for c in range(16))
+        cells = {cell(unit[q]) ^ c for _, c in far[:13]}
+        best = sorted((-round(float(unit[q] @ x), 6), i) for i, x in enumerate(unit) if cell(x) in cells)[:5]
+        assert [found[q, r] for r in range(1, 6)] == [i for _, i in best]
+    assert {k for k in found if k[0] == 59} == {(59, r) for r in range(1, 6)}
+
+
 def test_cosine_similarity(spark):
     rows = [([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), ([], [])]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
