@@ -10,6 +10,7 @@ from faultlens.functions import articles as art
 from faultlens.functions import fixed_values as fv
 from faultlens.functions.text import clip_chars, embed_text, whole_div
 from faultlens.operators.embedding import hashed_vectors
+from faultlens.sources.stage import stage
 
 TEXT_FIELDS = ["title", "content", "category", "keywords", "symptoms"]
 FIELDS = ["id", *TEXT_FIELDS, "embedding", "created_at", "updated_at"]
@@ -99,8 +100,8 @@ def kb_rejected_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(~_is_valid())
 
 
-def number_rows(rows: DataFrame, start: DataFrame, out: str = "id") -> DataFrame:
-    """Gapless ids after ``start`` (one row, column ``last_id``), ordered by the md5 of the whole row.
+def number_rows(rows: DataFrame, start: DataFrame, out: str = "id", order: Column | None = None) -> DataFrame:
+    """Gapless ids after ``start`` (one row, column ``last_id``), ordered by the md5 of the whole row, or by another one given as ``order``.
 
     The hash prefix cuts the rows into 4096 even buckets that are numbered side by side; only the bucket
     sizes are added up in one place. Equal rows are counted first and written out again in chunks, so a row
@@ -109,7 +110,7 @@ def number_rows(rows: DataFrame, start: DataFrame, out: str = "id") -> DataFrame
     fields = rows.columns
     counted = (
         rows.groupBy(*fields).agg(F.count(F.lit(1)).alias("_times"))
-        .withColumn("_hash", F.md5(F.concat_ws("\x01", *fields)))
+        .withColumn("_hash", F.md5(F.concat_ws("\x01", *fields)) if order is None else order)
         .withColumn("_bucket", F.substring("_hash", 1, 3))
     )
     sizes = counted.groupBy("_bucket").agg(F.sum("_times").alias("_size"))
@@ -193,7 +194,24 @@ def kb_delete(kb: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def kb_backfill(kb: DataFrame, embed=hashed_vectors) -> DataFrame:
-    """New table state with vectors for the rows that have none; failed rows stay without."""
+    """New table state with vectors for the rows that have none; failed rows stay without.
+
+    Where ``embed`` has the function of its ``column``, rows whose id is theirs alone are filled in place, so no text is shuffled.
+    """
+    if not hasattr(embed, "column"):
+        return _filled(kb, embed)
+    missing = F.col("embedding").isNull()
+    ids = kb.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("n_missing"))
+    repeated = stage(ids.filter("n > 1 AND n_missing > 0").select("id"), "repeated-ids")
+    some = not repeated.isEmpty()
+    alone = kb.join(repeated, "id", "left_anti") if some else kb
+    todo = F.when(missing & F.col("id").isNotNull(), embed_text(F.col("title"), F.col("content")))  # other rows have no text to embed
+    names = ["id", *(c for c in kb.columns if c != "id")]
+    filled = alone.withColumn("embedding", F.coalesce("embedding", embed.column(todo))).select(*names)
+    return filled.unionByName(_filled(kb.join(repeated, "id", "left_semi"), embed)) if some else filled
+
+
+def _filled(kb: DataFrame, embed) -> DataFrame:
     todo = kb_missing_embedding(kb).select("id", "title", "content")
     vectors = _with_vectors(todo, embed).select("id", "new_embedding")
     return kb.join(vectors, "id", "left").withColumn(
@@ -226,9 +244,25 @@ def not_in_table(articles: DataFrame, kb: DataFrame) -> DataFrame:
 
 def kb_seed(kb: DataFrame, cases: DataFrame, embed=hashed_vectors, now: Column | None = None) -> DataFrame:
     """Fills the table from cases. Articles already there (same title and content) are not added twice, and
-    their missing vectors are filled in."""
-    fresh = not_in_table(articles_from_cases(cases).withColumn("_key", _text_key()).dropDuplicates(["_key"]).drop("_key"), kb)
-    return kb_insert(kb_backfill(kb, embed), fresh, embed, now)
+    their missing vectors are filled in.
+
+    Where ``embed`` has the function of its ``column``, new articles are found and numbered by their hashes, and their texts shuffled once.
+    """
+    articles = articles_from_cases(cases).withColumn("_key", _text_key())
+    if not hasattr(embed, "column"):
+        return kb_insert(kb_backfill(kb, embed), not_in_table(articles.dropDuplicates(["_key"]).drop("_key"), kb), embed, now)
+    filled = kb_backfill(kb, embed).select(*FIELDS)
+    articles = kb_valid_rows(articles).withColumn("_row", F.md5(F.concat_ws("\x01", *TEXT_FIELDS)))
+    keys = articles.groupBy("_key").agg(F.min("_row").alias("_row"))
+    known = kb.select(_text_key().alias("_key")).distinct()  # distinct: outer joins that kb is made of are not needed for it
+    fresh = stage(keys.join(known, "_key", "left_anti"), "fresh-keys")
+    if fresh.isEmpty():
+        return filled
+    numbered = number_rows(fresh, _last_id(kb), order=F.col("_row"))
+    new = articles.dropDuplicates(["_key", "_row"]).join(numbered, ["_key", "_row"])
+    now = F.current_timestamp() if now is None else now
+    vector = embed.column(embed_text(F.col("title"), F.col("content")))
+    return filled.unionByName(new.select("id", *TEXT_FIELDS, vector.alias("embedding"), now.alias("created_at"), now.alias("updated_at")))
 
 
 def articles_from_diagnoses(diagnoses: DataFrame) -> DataFrame:

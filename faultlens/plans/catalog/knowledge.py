@@ -149,8 +149,7 @@ def embed_report(spark, d):
 
 def kb_seed(spark, d):
     """Seeds an empty part of the table, then once more: the second run must add nothing."""
-    kb = views.kb_state(spark, d)
-    cases = views.cases(spark, d)
+    kb, cases = views.kb_state(spark, d), stage(views.cases(spark, d), "cases")  # read for keys and for texts, in both runs
     version = files.write_version(kn.kb_seed(kb, cases, now=_now()), work_path(spark, "kb"), 1)
     again = kn.kb_seed(spark.read.parquet(version), cases, now=_now())
     return _table(again)

@@ -43,8 +43,8 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """One log line (or stack trace) per event: log_id, ts, event_id, user_id, line."""
+def event_lines(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """One log line (or stack trace) per event: log_id, ts, event_id, user_id, line; dealt by log to ``parts`` before the lines are made, if given."""
     host, block = F.col("user_id") % HOSTS, whole_div(F.col("event_id"), BLOCK)
     base = events.select(
         (block * HOSTS + host).alias("log_id"),
@@ -52,6 +52,8 @@ def event_lines(events: DataFrame) -> DataFrame:
         host.alias("host"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
+    if parts is not None:
+        base = base.repartition(parts, "log_id")
     event_id, user_id, k = F.col("event_id"), F.col("user_id"), F.col("k")
     name = fault(F.col("log_id") + event_id % 2)
     body = (
@@ -78,7 +80,9 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, content, source_type, ts, strategy, use_rag"""
-    return logs_of_lines(event_lines(table(spark, sf_dir, "events")))
+    # what the lines are made of is several times smaller than the lines; parts enough for the work on the texts that follows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return logs_of_lines(event_lines(table(spark, sf_dir, "events"), parts))
 
 
 def logs_of_lines(lines: DataFrame) -> DataFrame:

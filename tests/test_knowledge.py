@@ -72,6 +72,25 @@ def test_seed_twice_adds_nothing(spark):
     assert fv.TRIGGER_RULES[1][1] in row.content and fv.SOLUTION_RULES[0][1] in row.content
 
 
+def test_seeding_is_the_same_without_joins_on_the_texts(spark):
+    kb = table(spark, [
+        (1, "a", "ca b", "", [1.0]), (2, "b", "cb d", "", None), (3, "", "", "", None), (4, "x", "y z", "", None), (4, "x", "y w", "", None),
+        (4, "x", "w", "", [2.0]), (None, "n", "n m", "", None), (5, "t", "text", "", [1.0]), (5, "t", "text", "", [1.0]),
+    ])
+    log = [(f"c{i}", "内存", f"text {i // 2}", f"cause {i % 3}", ["OOM", "CPU"]) for i in range(40)] + [("c99", None, "text", "", None)]
+    cases = spark.createDataFrame(log, "id string, category string, log string, expected_root_cause string, expected_keywords array<string>")
+    by_key = lambda df, key, text: kn.hashed_vectors(df, key, text)  # noqa: E731  a service that is asked by key
+    rows = lambda df: sorted(df.collect(), key=repr)
+    assert rows(kn.kb_backfill(kb)) == rows(kn.kb_backfill(kb, by_key))
+    once, plain = kn.kb_seed(kb, cases, now=now()), kn.kb_seed(kb, cases, by_key, now=now())
+    assert once.columns == plain.columns and rows(once) == rows(plain) and once.filter("title LIKE '[%'").count() > 20
+    # nothing new: no text is shuffled, nor is any where the ids differ
+    own = kb.filter("id < 4")
+    for done in (kn.kb_backfill(own), kn.kb_seed(kn.kb_seed(own, cases, now=now()), cases, now=now())):
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftOuter" not in plan
+
+
 def test_rule_orders(spark):
     df = spark.createDataFrame([(["RAID", "memory"],), (["none"],)], "k array<string>")
     got = df.select(art.infer_trigger(F.col("k")).alias("t"), art.infer_solution(F.col("k")).alias("s")).collect()
