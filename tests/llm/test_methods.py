@@ -229,6 +229,19 @@ def test_frequent_lines_beside_rare_words_are_linked_as_without_a_crowd(spark):
     assert crowded == plain and len(planted & {r[:2] for r in crowded}) >= 20
 
 
+def test_places_of_a_repeated_line_are_looked_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    line = rng.integers(1, 10**6, 9)
+    a, b = (np.concatenate([*(np.concatenate([line, rng.integers(1, 10**6, i % 3)]) for i in range(n)), rng.integers(1, 10**6, 40)]).astype("<u4") for n in (30, 40))
+    starts = [np.flatnonzero(x == line[0]).tolist() for x in (a, b)]
+    chains = [{"a_at": [i], "b_at": [j], "size": [9]} for i in starts[0] for j in starts[1]]
+    sides = [substring._Side(len(x), [0], [len(x)], x.tobytes()) for x in (a, b)]
+    looked, parts = [], substring._parts
+    monkeypatch.setattr(substring, "_parts", lambda x, y: looked.append(tuple(z[0].__array_interface__["data"][0] for z in (x, y)) + (x[0].strides[0] < 0,)) or parts(x, y))
+    found, _ = substring.passages(chains, *sides, 24, 50, 0.8)
+    assert found and len(looked) == len(set(looked)) > 100
+
+
 def test_promising_places_against_plain_loops():
     rng = np.random.default_rng(1)
     n, before = 3000, substring._LEFT
